@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .operators.faults import parse_track_lines, split_valid
 from .operators.heavy_keys import heavy_keys, per_key_summary
 from .operators.intervals import covered_and_gaps
+from .operators.orphans import orphan_references
+from .operators.packed import unpack_lists
 from .session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +102,64 @@ UNION ALL SELECT sample_id, chr, 'gap', e, nx FROM q WHERE nx IS NOT NULL""")
 def p4_found(spark, d):
     rows = table(spark, d, "track_elements").where(F.col("chr").isNotNull())
     return covered_and_gaps(rows, ["sample_id", "chr"], "start", "end")
+
+
+# 6. Several values packed in one field
+_P6 = r"""
+lists AS (SELECT DISTINCT el_id, field, trim(text, chr(9) || ' ') AS text, t FROM (
+ SELECT el_id, 'edges' AS field, edges AS text, loaded_at AS t FROM linked_elements
+ UNION ALL SELECT el_id, 'weights', weights, loaded_at FROM linked_elements)),
+bare AS (SELECT el_id, field, t, CASE WHEN regexp_full_match(text, '(?s)(\[.*\]|\(.*\)|\{.*\}|<.*>)')
+  THEN trim(text[2:-2], chr(9) || ' ') ELSE text END AS text FROM lists),
+pieces AS (SELECT el_id, field, t, regexp_extract_all(text,
+  '"[^"]*(?:""[^"]*)*"|''[^'']*(?:''''[^'']*)*''|[A-Za-z0-9_:.+\-]+|[ \t]*[^A-Za-z0-9_:.+\- \t"''][ \t]*|["'']|[ \t]+') AS p FROM bare),
+placed AS (SELECT el_id, field, t, unnest(p) AS piece, unnest(list_transform(range(1, len(p) + 1), lambda i:
+  len(list_filter(p[1:i], lambda x: NOT regexp_matches(x, '^[A-Za-z0-9_:.+\-]') AND (len(x) < 2 OR NOT x[1] IN ('"', chr(39))))))) AS pos
+  FROM pieces),
+items AS (SELECT el_id, field, t, CAST(pos AS INT) AS pos, CASE WHEN piece[1] = '"' THEN replace(piece[2:-2], '""', '"')
+  WHEN piece[1] = chr(39) THEN replace(piece[2:-2], repeat(chr(39), 2), chr(39)) ELSE piece END AS item FROM placed
+  WHERE piece <> '.' AND (regexp_matches(piece, '^[A-Za-z0-9_:.+\-]') OR (len(piece) > 1 AND piece[1] IN ('"', chr(39)))))
+"""
+
+
+@query("WITH " + _P6 + "SELECT DISTINCT el_id, field, pos, item FROM items")
+def p6_found(spark, d):
+    rows = table(spark, d, "linked_elements").select("el_id", "edges", "weights").distinct()
+    return unpack_lists(rows, "el_id", ["edges", "weights"])
+
+
+# 3. References to records that do not exist
+def _references(spark, d):
+    elements = table(spark, d, "linked_elements").select("el_id", "edges", "loaded_at").distinct()
+    named = unpack_lists(elements, "el_id", ["edges"], ["loaded_at"]).select(
+        F.lit("linked_elements").alias("ref_table"), F.col("el_id").alias("row_id"), F.col("item").alias("ref_id"),
+        F.col("loaded_at").alias("ref_time"))
+    links = table(spark, d, "link_rows").select(
+        F.lit("link_rows").alias("ref_table"), F.col("link_id").alias("row_id"),
+        F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("ref_id"), F.col("loaded_at").alias("ref_time"))
+    return named.unionByName(links)
+
+
+def _orphans(spark, d):
+    return orphan_references(_references(spark, d), table(spark, d, "linked_nodes"), "id", "loaded_at", "removed_at").select(
+        "ref_table", F.date_format("ref_time", "yyyy-MM").alias("period"), "row_id", "ref_id").distinct()
+
+
+_P3 = "WITH " + _P6 + """,
+refs AS (SELECT 'linked_elements' AS ref_table, el_id AS row_id, item AS ref_id, t FROM items WHERE field = 'edges'
+ UNION SELECT 'link_rows', link_id, source_id, loaded_at FROM link_rows WHERE source_id IS NOT NULL
+ UNION SELECT 'link_rows', link_id, target_id, loaded_at FROM link_rows WHERE target_id IS NOT NULL),
+missing AS (SELECT DISTINCT ref_table, strftime(t, '%Y-%m') AS period, row_id, ref_id FROM refs r WHERE NOT EXISTS (
+ SELECT 1 FROM linked_nodes n WHERE n.id = r.ref_id AND n.loaded_at <= r.t AND (n.removed_at IS NULL OR n.removed_at > r.t)))
+"""
+
+
+@query(_P3 + "SELECT * FROM missing")
+def p3_found(spark, d):
+    return _orphans(spark, d)
+
+
+@query(_P3 + "SELECT ref_table, period, count(*) AS n_orphans, count(DISTINCT ref_id) AS n_ids FROM missing GROUP BY ALL")
+def p3_by_period(spark, d):
+    per_id = _orphans(spark, d).groupBy("ref_table", "period", "ref_id").agg(F.count("*").alias("n"))
+    return per_id.groupBy("ref_table", "period").agg(F.sum("n").alias("n_orphans"), F.count("*").alias("n_ids"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
+from .bpe import Bpe
+from .quantiles import LOW, merge_sketches, percentiles, sketches
 from .runs import collapse_runs, latest_version
 
 QUERIES = {}
@@ -45,3 +47,42 @@ def p5_found(spark, d):
 @query(_P5.format(more=', CAST(sum("end" - "start") AS BIGINT) AS length'))
 def p5_runs(spark, d):
     return _runs(spark, d)
+
+
+# 7. Percentiles of very large numeric columns
+HIGH_AT = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+LOW_AT = {"p001": 0.001, "p01": 0.01, "p10": 0.1, "p25": 0.25, "p50": 0.5}
+
+
+@query()
+def p7_percentiles(spark, d):
+    """Per chr; the rank error of a percentile q is at most one percent of (1 - q) * n."""
+    return percentiles(sketches(table(spark, d, "track_elements"), ["chr"], "val"), ["chr"], HIGH_AT)
+
+
+@query()
+def p7_low_percentiles(spark, d):
+    """Per chr, with the low tail protected; rank error at most one percent of q * n."""
+    return percentiles(sketches(table(spark, d, "track_elements"), ["chr"], "val", tail=LOW), ["chr"], LOW_AT)
+
+
+@query()
+def p7_from_days(spark, d):
+    """The same from one stored summary per chr and month of loading, joined afterwards."""
+    rows = table(spark, d, "track_elements").withColumn("period", F.date_format("loaded_at", "yyyy-MM"))
+    monthly = sketches(rows, ["chr", "period"], "val")
+    return percentiles(merge_sketches(monthly, ["chr"]), ["chr"], HIGH_AT)
+
+
+# 8. Encoding of the whole corpus
+@query()
+def p8_ids(spark, d):
+    return Bpe().encode(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+@query("SELECT lang, count(*) AS n_docs, count(*) AS n_equal FROM documents GROUP BY lang")
+def p8_roundtrip(spark, d):
+    bpe = Bpe()
+    coded = bpe.encode(table(spark, d, "documents").select("lang", "text"), "text")
+    equal = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    return coded.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count(F.when(equal, 1)).alias("n_equal"))

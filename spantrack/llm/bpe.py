@@ -66,8 +66,8 @@ class Bpe:
     """Encoder and decoder for one vocabulary of ranked byte strings."""
 
     def __init__(self, path: str | None = None):
-        ranks = read_ranks(path or vocabulary_path())
-        self._table = _bucketed(((p.decode("latin-1"), r) for p, r in ranks.items()), RANK_BUCKETS, "int")
+        self.ranks = read_ranks(path or vocabulary_path())
+        self._table = _bucketed(((p.decode("latin-1"), r) for p, r in self.ranks.items()), RANK_BUCKETS, "int")
 
     def fold(self, word: Column, table: Column) -> Column:
         """Ids of one word by folding its merges with the ranks of ``table``, a lambda variable
@@ -138,8 +138,8 @@ class Bpe:
 
     def decode(self, ids: Column) -> Column:
         """Text of a list of ids: its binary pieces in a row; null for null."""
-        pieces: list[str] = [""] * (max(ranks.values()) + 1)
-        for p, r in ranks.items():
+        pieces: list[str] = [""] * (max(self.ranks.values()) + 1)
+        for p, r in self.ranks.items():
             pieces[r] = p.decode("latin-1")
         table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
         joined = F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), "")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .bpe import Bpe
+from .packing import DEFAULT_CAPACITY, fill_containers, token_counts
 from .quantiles import LOW, merge_sketches, percentiles, sketches
 from .runs import collapse_runs, latest_version
 
@@ -86,3 +87,23 @@ def p8_roundtrip(spark, d):
     coded = bpe.encode(table(spark, d, "documents").select("lang", "text"), "text")
     equal = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
     return coded.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count(F.when(equal, 1)).alias("n_equal"))
+
+
+# 9. Filling fixed-capacity containers
+def _containers(spark, d):
+    return fill_containers(token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
+
+
+@query()
+def p9_containers(spark, d):
+    return _containers(spark, d)
+
+
+@query()
+def p9_fill(spark, d):
+    """One row: containers used, the least number that could do, tokens, and share of room used."""
+    placed = _containers(spark, d).where("container_id is not null")
+    return placed.groupBy("container_id").agg(F.sum("size").alias("used")).agg(
+        F.count("*").alias("n_containers"), F.ceil(F.sum("used") / DEFAULT_CAPACITY).alias("least_possible"),
+        F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"),
+        (F.sum("used") / (F.count("*") * DEFAULT_CAPACITY)).alias("fill"))

@@ -9,6 +9,7 @@ from .bpe import Bpe
 from .packing import DEFAULT_CAPACITY, fill_containers, token_counts
 from .quantiles import LOW, merge_sketches, percentiles, sketches
 from .runs import collapse_runs, latest_version
+from .sentences import split_sentences
 
 QUERIES = {}
 SQL = {}
@@ -107,3 +108,9 @@ def p9_fill(spark, d):
         F.count("*").alias("n_containers"), F.ceil(F.sum("used") / DEFAULT_CAPACITY).alias("least_possible"),
         F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"),
         (F.sum("used") / (F.count("*") * DEFAULT_CAPACITY)).alias("fill"))
+
+
+# 10. Sentence boundaries
+@query()
+def p10_found(spark, d):
+    return split_sentences(table(spark, d, "documents"), "doc_id", "text")

@@ -51,28 +51,13 @@ def _scan(batches, n_keys: int, carry, touch: bool):
     yield carry
 
 
-def covered_and_gaps(
-    df: DataFrame, entity: list[str], start: str, end: str, touch: bool = True
-) -> DataFrame:
-    """Maximal covered periods and the gaps between them, per entity.
-
-    Returns the entity columns, ``kind`` ('period' or 'gap'), ``start`` and ``end``. Intervals are
-    half-open; with ``touch`` abutting ones join, without it only those that overlap.
-
-    Rows whose start or end is null or whose end is not above its start take no part. A null
-    entity value is an entity of its own. Repeated and tied rows change nothing; extra columns are
-    not read; an empty table gives no row.
-    """
-    kind_of = df.schema[start].dataType
-    picked = df.select(
-        *[F.col(f"`{c}`") for c in entity],
-        F.col(f"`{start}`").cast("long").alias(_LO),
-        F.col(f"`{end}`").cast("long").alias(_HI),
-    ).where(F.col(_LO).isNotNull() & (F.col(_HI) > F.col(_LO)))
+def _carried(picked: DataFrame, entity: list[str], touch: bool):
+    """The sorted, numbered rows; by partition the state carried in, and whether its last island
+    goes on in the next one."""
     ordered = materialise(range_sorted(picked, *entity, _LO, _HI))
     numbered = ordered.withColumn(_PID, F.spark_partition_id())
-    k = len(entity)
-    key_fields = [T.StructField(c, df.schema[c].dataType) for c in entity]
+    k, pid_at = len(entity), len(picked.columns)
+    key_fields = [T.StructField(c, picked.schema[c].dataType) for c in entity]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, pid, single, island, most, schema, key = None, None, True, None, None, None, None
@@ -80,7 +65,7 @@ def covered_and_gaps(
             if isinstance(item, tuple) and len(item) == 7:
                 batch, keys, lo, fresh, _, _, _ = item
                 if first is None:
-                    first, pid = (key_at(keys, 0), int(lo[0])), batch.column(k + 2)[0].as_py()
+                    first, pid = (key_at(keys, 0), int(lo[0])), batch.column(pid_at)[0].as_py()
                     single = not fresh[1:].any()
                 else:
                     single = single and not fresh.any()
@@ -120,6 +105,30 @@ def covered_and_gaps(
             carry = (last, carry[1] if reached else r["island"], max(carry[2], r["most"]))
         else:
             carry = (last, r["island"], r["most"])
+    return numbered, carries, goes_on
+
+
+def covered_and_gaps(
+    df: DataFrame, entity: list[str], start: str, end: str, touch: bool = True
+) -> DataFrame:
+    """Maximal covered periods and the gaps between them, per entity.
+
+    Returns the entity columns, ``kind`` ('period' or 'gap'), ``start`` and ``end``. Intervals are
+    half-open; with ``touch`` abutting ones join, without it only those that overlap.
+
+    Rows whose start or end is null or whose end is not above its start take no part. A null
+    entity value is an entity of its own. Repeated and tied rows change nothing; extra columns are
+    not read; an empty table gives no row.
+    """
+    kind_of = df.schema[start].dataType
+    picked = df.select(
+        *[F.col(f"`{c}`") for c in entity],
+        F.col(f"`{start}`").cast("long").alias(_LO),
+        F.col(f"`{end}`").cast("long").alias(_HI),
+    ).where(F.col(_LO).isNotNull() & (F.col(_HI) > F.col(_LO)))
+    numbered, carries, goes_on = _carried(picked, entity, touch)
+    k = len(entity)
+    key_fields = [T.StructField(c, df.schema[c].dataType) for c in entity]
 
     def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import itertools
@@ -173,3 +182,40 @@ def covered_and_gaps(
         *[F.col(f"`{c}`") for c in entity], "kind",
         F.col(_LO).cast(kind_of).alias("start"), F.col(_HI).cast(kind_of).alias("end"),
     )
+
+
+def label_islands(
+    df: DataFrame, entity: list[str], start: str, end: str, label: str = "island", touch: bool = False
+) -> DataFrame:
+    """The rows of ``df`` with ``label``, the start of the island (the maximal group of
+    overlapping intervals of one entity) that they are in.
+
+    Rows whose start or end is null come out with a null label, as do rows whose end is not above
+    their start. Repeated and tied rows keep their number; a null entity is an entity of its own.
+    """
+    lo, hi = F.col(f"`{start}`").cast("long"), F.col(f"`{end}`").cast("long")
+    fits = F.coalesce(lo.isNotNull() & (hi > lo), F.lit(False))
+    others = [c for c in df.columns if c not in entity]
+    picked = df.where(fits).select(*[F.col(f"`{c}`") for c in entity], lo.alias(_LO), hi.alias(_HI), *[F.col(f"`{c}`") for c in others])
+    numbered, carries, _ = _carried(picked, entity, touch)
+    k, pid_at = len(entity), len(picked.columns)
+
+    def rescan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import itertools
+
+        batches = iter(batches)
+        head = next((b for b in batches if b.num_rows), None)
+        if head is None:
+            return
+        for item in _scan(itertools.chain([head], batches), k, carries.get(head.column(pid_at)[0].as_py()), touch):
+            if isinstance(item, tuple) and len(item) == 7:
+                batch, _, low, _, _, at, carried = item
+                last = np.searchsorted(at, np.arange(batch.num_rows), side="right") - 1
+                island = np.where(last >= 0, low[at[np.maximum(last, 0)]] if len(at) else 0, 0 if carried is None else carried[1])
+                columns = [batch.column(i) for i in range(k)] + [batch.column(k + 2 + i) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(island, pa.int64())], [*entity, *others, label])
+
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in [*entity, *others]] + [T.StructField(label, T.LongType())])
+    labelled = numbered.mapInArrow(rescan, schema)
+    rest = df.where(~fits).select(*[F.col(f"`{c}`") for c in [*entity, *others]], F.lit(None).cast("long").alias(label))
+    return labelled.unionByName(rest).select(*[F.col(f"`{c}`") for c in [*df.columns, label]])

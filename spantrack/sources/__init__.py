@@ -1,0 +1 @@
+"""Readers of track files."""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidFormatError
 from ..types import TRACK_TYPES
+from . import subtypes
 from .lines import first_error, strand_of, unquote
 
 # Fixed values of the format: its suffix, header variables with their defaults, and columns.
@@ -92,6 +93,19 @@ def parse_header(lines: list[str]) -> Header:
         else:
             h.values[name] = value if name in ("gtrack subtype", "subtype url") else value.lower()
         h.given.append(name)
+    if h["subtype url"]:
+        found = subtypes.find(str(h["subtype url"]))
+        if found is None:
+            h.warnings.append(f"the subtype {h['subtype url']} isn't bundled; nothing is fetched")
+        else:
+            adherence, headers, columns = found
+            own = Header(given=["subtype adherence", *headers], columns=columns)
+            own.values["subtype adherence"] = adherence
+            for name, value in headers.items():
+                kind = type(DEFAULTS[name])
+                own.values[name] = value == "true" if kind is bool else kind(value)
+            h.columns = h.columns or list(columns)
+            h = apply_subtype(h, own)
     check_header(h)
     return h
 
@@ -119,7 +133,6 @@ def check_header(h: Header) -> None:
         own.add("start")
     need(own == core, f"columns {sorted(own)} don't fit the track type {track_type}")
     need(not h["fixed-size data lines"] or (track_type == "function" and len(h.columns) == 1), "fixed-size lines are for functions of one column")
-    need("edges" not in core or "id" in h.columns, "linked tracks need ids")
 
 
 def apply_subtype(h: Header, subtype: Header) -> Header:
@@ -131,7 +144,7 @@ def apply_subtype(h: Header, subtype: Header) -> Header:
     a, b = h.columns, subtype.columns
     fits = {
         "strict": a == b, "extensible": a[: len(b)] == b and not set(a[len(b):]) & set(CORE),
-        "redefinable": len(a) == len(b) and all(x == y or {x, y} & {"value", "edges"} for x, y in zip(a, b)),
+        "redefinable": len(a) >= len(b) and all(x == y or {x, y} & {"value", "edges"} for x, y in zip(a, b)),
         "reorderable": set(b) <= set(a), "free": True,
     }[mode]
     if not fits:

@@ -493,7 +493,7 @@ def fasta_parse_lines(spark, d):
     return P.fasta(lines).select(F.col("seqid").cast(p.schema["p_partkey"].dataType).alias("seqid"), "start", "val")
 
 
-@query(f"""SELECT el_id, chr AS seqid, "start", "end", val, ['a', 'b%2'] AS edges FROM linked_elements WHERE {GOOD} AND val IS NOT NULL AND val NOT IN ('', '.')""")
+@query(f"""SELECT el_id, chr AS seqid, "start", "end", val, 'a|b%2' AS edges FROM linked_elements WHERE {GOOD} AND val IS NOT NULL AND val NOT IN ('', '.')""")
 def headed_round_trip(spark, d):
     t = table(spark, d, "linked_elements").where(F.col("chr").isNotNull() & (F.col("end") > F.col("start")) & F.col("val").isNotNull() & ~F.col("val").isin("", "."))
     t = t.withColumnRenamed("chr", "seqid").select("seqid", "start", "end", "val", F.col("el_id").cast("string").alias("id"), F.array(F.lit("a"), F.lit("b%2")).alias("edges"))
@@ -501,7 +501,7 @@ def headed_round_trip(spark, d):
     out = SH.compose(t.withColumn("row_ord", F.col("id").cast("long")), h)
     lines = out.select(F.lit("f").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("k_row").alias("nth")).alias("ord"), "line")
     back = H.parse(lines, H.parse_header(SH.header_lines(h)))
-    return back.where("error is null").select(F.col("id").cast("long").alias("el_id"), "seqid", "start", "end", "val", "edges")
+    return back.where("error is null").select(F.col("id").cast("long").alias("el_id"), "seqid", "start", "end", "val", F.array_join("edges", "|").alias("edges"))
 
 
 @query(f"""SELECT chr || chr(9) || "start" || chr(9) || "end" || chr(9) || 'n' || el_id || chr(9) || 0 || chr(9) || CASE WHEN strand = 1 THEN '+' WHEN strand = 0 THEN '-' ELSE '.' END AS line

@@ -11,14 +11,21 @@ sections of ``k`` items; after its n-th compaction the trailing (ones of n + 1)
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-DEFAULT_K = 64
+from ..operators.scan import changes, key_at
+
+DEFAULT_K, FIRST_SECTIONS = 64, 3
+#: Rows that are grouped at a time.
+BUFFER_ROWS = 200_000
+#: Sketches that a task holds at a time; beyond it they are handed on and merge later.
+HELD = 4000
 HIGH, LOW = "high", "low"
 
 
@@ -32,7 +39,7 @@ class Sketch:
             raise ValueError("k must be even and at least 4")
         self.k, self.tail, self.n = k, tail, 0
         self.levels: list[list[np.ndarray]] = [[]]
-        self.turns, self.sections = [0], [3]
+        self.turns, self.sections = [0], [FIRST_SECTIONS]
         self.least, self.most = math.inf, -math.inf
 
     def capacity(self, h: int) -> int:
@@ -68,7 +75,7 @@ class Sketch:
         while len(self.levels) <= h:
             self.levels.append([])
             self.turns.append(0)
-            self.sections.append(3)
+            self.sections.append(FIRST_SECTIONS)
 
     def _compress(self) -> None:
         h = 0
@@ -113,6 +120,9 @@ class Sketch:
         """For each q the least kept value whose estimated rank is at least q * n."""
         if not self.n:
             return [None] * len(at)
+        if len(self.levels) == 1:
+            values = np.sort(np.concatenate(self.levels[0]))
+            return [float(values[min(max(math.ceil(q * self.n), 1), self.n) - 1]) for q in at]
         values, weights = self.items()
         ranks = np.cumsum(weights)
         out = []
@@ -150,6 +160,22 @@ class Sketch:
         return s
 
 
+def _pack(values: np.ndarray, sizes: np.ndarray, k: int, tail: str) -> pa.Array:
+    """Bytes of one-level sketches of sorted groups, as ``Sketch.to_bytes`` writes them."""
+    head = 9
+    begin = np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes + head) - sizes - head
+    words = np.empty(int((sizes + head).sum()), dtype=np.int64)
+    floats = words.view(np.float64)
+    for i, x in enumerate((k, int(tail == HIGH), sizes, 1)):
+        words[at + i] = x
+    floats[at + 4], floats[at + 5] = values[begin], values[begin + sizes - 1]
+    words[at + 6], words[at + 7], words[at + 8] = sizes, 0, FIRST_SECTIONS
+    floats[np.arange(len(values)) + np.repeat(at + head - begin, sizes)] = values
+    offsets = np.append(at, len(words)).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+
+
 def sketches(df: DataFrame, keys: list[str], value: str, k: int = DEFAULT_K, tail: str = HIGH) -> DataFrame:
     """One sketch per key combination, as (keys, n, sketch BINARY), mergeable later.
 
@@ -163,26 +189,41 @@ def sketches(df: DataFrame, keys: list[str], value: str, k: int = DEFAULT_K, tai
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
-        schema = None
-        for batch in batches:
-            if not batch.num_rows:
+        waiting, rows, schema = [], 0, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                waiting.append(batch)
+                rows += batch.num_rows
+                schema = batch.schema
+            if not waiting or (batch is not None and rows < BUFFER_ROWS):
                 continue
-            schema = batch.schema
-            values = batch.column(width).to_numpy(zero_copy_only=False)
-            group = np.zeros(batch.num_rows, dtype=np.int64)
-            names = []
+            block = pa.Table.from_batches(waiting).combine_chunks()
+            waiting, rows = [], 0
+            values = block.column(width).to_numpy()
+            group = np.zeros(len(values), dtype=np.int64)
             for i in range(width):
-                coded = batch.column(i).dictionary_encode("encode")
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                names.append(coded.dictionary)
-                group = group * len(coded.dictionary) + codes
-            order = np.argsort(group, kind="stable")
-            bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
-            for a, b in zip(bounds, np.append(bounds[1:], len(order))):
-                key = tuple(batch.column(i)[int(order[a])].as_py() for i in range(width))
+                coded = block.column(i).combine_chunks().dictionary_encode("encode")
+                coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+                group = np.unique(group * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.lexsort((values, group))
+            values, group = values[order], group[order]
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            size = np.diff(np.append(first, len(group)))
+            small = size < 2 * k * FIRST_SECTIONS
+            # Groups that fit into one buffer are written as they are, all at once.
+            if small.any():
+                at, n = first[small], size[small]
+                inside = np.repeat(small, size)
+                owners = [block.column(i).take(pa.array(order[at])).combine_chunks() for i in range(width)]
+                yield pa.RecordBatch.from_arrays([*owners, pa.array(n, pa.int64()), _pack(values[inside], n, k, tail)], [*keys, "n", "sketch"])
+            for a, n in zip(first[~small], size[~small]):
+                key = tuple(block.column(i)[int(order[a])].as_py() for i in range(width))
                 if key not in held:
                     held[key] = Sketch(k, tail)
-                held[key].add(values[order[a:b]])
+                held[key].add(values[a : a + n])
+            if len(held) > HELD:
+                yield _batch(schema, held)
+                held = {}
         if held:
             yield _batch(schema, held)
 
@@ -211,25 +252,34 @@ def merge_sketches(parts: DataFrame, keys: list[str], by_partition: int | None =
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[tuple, Sketch] | None = None
-        schema_ = None
+        types = None
 
         def done():
             key, s = held
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[i]], schema_.field(i).type) for i in range(width)] + [pa.array([s.n], pa.int64()), pa.array([s.to_bytes()], pa.binary())],
+                [pa.array([key[i]], types[i]) for i in range(width)] + [pa.array([s.n], pa.int64()), pa.array([s.to_bytes()], pa.binary())],
                 [*keys, "n", "sketch"])
 
         for batch in batches:
-            schema_ = batch.schema
+            n = batch.num_rows
+            if not n:
+                continue
+            columns = [batch.column(i) for i in range(width)]
+            types = [c.type for c in columns]
+            fresh = changes(columns, held[0] if held else None) if columns else np.arange(n) == (0 if not held else -1)
+            # A key with a single sketch inside the batch passes as it is; the last one may go on.
+            alone = fresh & np.append(fresh[1:], False)
+            if alone.any():
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(np.flatnonzero(alone))) for c in batch.columns], [*keys, "n", "sketch"])
             blobs = batch.column(width + 1)
-            for i in range(batch.num_rows):
-                key, s = tuple(batch.column(j)[i].as_py() for j in range(width)), Sketch.from_bytes(blobs[i].as_py())
-                if held and held[0] == key:
-                    held[1].merge(s)
-                else:
+            for i in np.flatnonzero(~alone).tolist():
+                s = Sketch.from_bytes(blobs[i].as_py())
+                if fresh[i]:
                     if held:
                         yield done()
-                    held = (key, s)
+                    held = (key_at(columns, i), s)
+                else:
+                    held[1].merge(s)
         if held:
             yield done()
 

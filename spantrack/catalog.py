@@ -53,15 +53,15 @@ class Catalog:
         return self._fs.exists(self._fs_path(path))
 
     def _write_info(self, info: TrackInfo) -> None:
-        out = self._fs.create(self._fs_path(self._dir(info.genome, info.name) + "/_info.json"), True)
+        out = self._fs.create(self._fs_path(self._dir(info.genome, info.name) + "/info.json"), True)
         out.write(bytearray(json.dumps(asdict(info)).encode()))
         out.close()
 
     def info(self, genome: str, name: str) -> TrackInfo:
-        path = self._dir(genome, name) + "/_info.json"
+        path = self._dir(genome, name) + "/info.json"
         if not self._exists(path):
             raise InvalidFormatError(f"no track {name} in {genome}")
-        text = "\n".join(r["value"] for r in self.spark.read.text(path).collect())
+        text = self.spark.read.text(path, wholetext=True).first()["value"]
         return TrackInfo(**json.loads(text))
 
     def genomes(self) -> list[str]:
@@ -87,14 +87,14 @@ class Catalog:
         return str(files.agg(F.bit_xor(F.xxhash64("path", "modificationTime", "length")).alias("x")).first()["x"])
 
     def is_stale(self, genome: str, name: str, path: str) -> bool:
-        if not self._exists(self._dir(genome, name) + "/_info.json"):
+        if not self._exists(self._dir(genome, name) + "/info.json"):
             return True
         return self.info(genome, name).fingerprint != self.fingerprint(path)
 
     def ingest(self, path: str, genome: str, name: str, suffix: str | None = None, mode: str = "FAILFAST", force: bool = False) -> TrackInfo:
         """Parses, checks, stores raw and clustered, and records a file (or folder of files)."""
         mark = self.fingerprint(path)
-        if not force and self._exists(self._dir(genome, name) + "/_info.json") and self.info(genome, name).fingerprint == mark:
+        if not force and self._exists(self._dir(genome, name) + "/info.json") and self.info(genome, name).fingerprint == mark:
             return self.info(genome, name)
         track = self.read(path, genome, suffix, mode)
         return self.store(track, genome, name, mark, path)
@@ -122,6 +122,8 @@ class Catalog:
     def store(self, track: DataFrame, genome: str, name: str, mark: str = "", source: str = "") -> TrackInfo:
         fmt = TrackFormat.of_schema(track.schema)
         dense = fmt.dense or fmt.represented_dense
+        if track.isEmpty():
+            raise EmptySourceError(f"{source or name} has no valid row")
         base = self._dir(genome, name)
         info = TrackInfo(genome, name, fmt.name, fmt.value_type, fingerprint=mark, source=source)
         variants = {RAW: track} if dense else {RAW: track, CLUSTERED: None}
@@ -137,8 +139,6 @@ class Catalog:
             with_bin(df).repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("seqid").parquet(f"{base}/variant={variant}")
         row = track_stats(self.spark.read.parquet(f"{base}/variant={RAW}"), ["seqid"]).agg(
             F.sum("n_elements").alias("n"), *([F.max("max_length").alias("longest")] if fmt.interval else [])).first()
-        if not row["n"]:
-            raise EmptySourceError(f"{source or name} has no valid row")
         info.counts[RAW] = row["n"]
         info.max_length = (row["longest"] if fmt.interval else 1) or 1
         if not dense:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .operators.complement import complement
+from .operators.windows import LAG, MAX_BEFORE, ordered_values
 from .sinks.headed import compose, header_for
 from .sources.headed import Header
 
@@ -64,13 +65,15 @@ def infer_columns(cells: DataFrame, columns: list[str]) -> DataFrame:
 
 def infer_flags(track: DataFrame, entity: list[str], order: list[str]) -> DataFrame:
     """One row: sorted, no_overlaps, circular, undirected, weighted."""
-    w = Window.partitionBy(*entity).orderBy(*order)
-    highest = F.max("end").over(Window.partitionBy(*entity).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    d = track.withColumns({"__b": F.lag(F.struct("start", "end")).over(w), "__e": highest})
-    return d.agg(
-        F.bool_and(F.coalesce(F.col("__b") <= F.struct("start", "end"), F.lit(True))).alias("sorted"),
+    columns = list(dict.fromkeys([*entity, "start", "end", *order]))
+    by_file = ordered_values(track.select(*columns), entity, list(order), {"__bs": (LAG, "start"), "__be": (LAG, "end")})
+    by_file = by_file.agg(F.bool_and(F.coalesce(F.struct("__bs", "__be") <= F.struct("start", "end"), F.lit(True)) | F.col("__bs").isNull()).alias("sorted"))
+    d = ordered_values(track.select(*entity, "start", "end"), entity, ["start", "end"], {"__e": (MAX_BEFORE, "end")})
+    flags = d.agg(
         F.bool_and(F.coalesce(F.col("start") >= F.col("__e"), F.lit(True))).alias("no_overlaps"),
         F.bool_or(F.col("end") <= F.col("start")).alias("circular"))
+    # One row on either side.
+    return by_file.withColumn("__j", F.lit(1)).join(flags.withColumn("__j", F.lit(1)), "__j").select("sorted", "no_overlaps", "circular")
 
 
 def expand_header(track: DataFrame, order: list[str]) -> Header:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .windows import LEAD, SUM, ordered_values
 
 
 def coverage_runs(df: DataFrame, entity: list[str], value: str | None = None, void: float | None = 0.0) -> DataFrame:
@@ -20,11 +22,8 @@ def coverage_runs(df: DataFrame, entity: list[str], value: str | None = None, vo
         F.struct(F.col("start").alias("pos"), F.lit(1).alias("d"), v.alias("v")),
         F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"), (-v).alias("v"))))
     events = good.select(*entity, at.alias("e")).groupBy(*entity, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"), F.sum("e.v").alias("v"))
-    order = Window.partitionBy(*entity).orderBy("pos")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = events.select(*entity, F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"),
-                         F.sum("d").over(running).alias("depth"), F.sum("v").over(running).alias("value"))
-    runs = runs.where(F.col("end").isNotNull())
+    runs = ordered_values(events, entity, ["pos"], {"end": (LEAD, "pos"), "depth": (SUM, "d"), "value": (SUM, "v")})
+    runs = runs.where(F.col("end").isNotNull()).select(*entity, F.col("pos").alias("start"), "end", "depth", "value")
     if value is None:
         return runs.drop("value")
     return runs.withColumn("value", F.when(F.col("depth") > 0, F.col("value")).otherwise(F.lit(void)))

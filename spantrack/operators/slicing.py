@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..genome import COMP_BIN_SIZE
+from .windows import LAG, ordered_values
 
 
 def with_bin(df: DataFrame, size: int = COMP_BIN_SIZE) -> DataFrame:
@@ -69,13 +70,14 @@ def to_points(df: DataFrame, which: str, region: tuple[int, int] | None = None)
 def partition_starts(df: DataFrame, entity: list[str], region_start: str | None = None) -> DataFrame:
     """Start of each partition element: the end of the one before it, or of its region."""
     first = F.col(region_start) if region_start else F.lit(0)
-    before = F.lag("end").over(Window.partitionBy(*entity).orderBy("end"))
-    return df.withColumn("start", F.coalesce(before, first))
+    out = ordered_values(df.drop("start"), entity, ["end"], {"__before": (LAG, "end")})
+    return out.withColumn("start", F.coalesce("__before", first)).drop("__before")
 
 
 def inter_element_gaps(df: DataFrame, entity: list[str], order: list[str] = ("start", "end")) -> DataFrame:
     """Adds ``gap``: from the end of the element before to the start; null for the first one."""
-    return df.withColumn("gap", F.col("start") - F.lag("end").over(Window.partitionBy(*entity).orderBy(*order)))
+    out = ordered_values(df, entity, list(order), {"__before": (LAG, "end")})
+    return out.withColumn("gap", F.col("start") - F.col("__before")).drop("__before")
 
 
 def fixed_length_and_gap(df: DataFrame, entity: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import InvalidFormatError
+from .windows import MAX_BEFORE, ordered_values
 
 VIOLATION = "rule string, detail string"
 
@@ -28,8 +29,8 @@ def unsorted(df: DataFrame, entity: list[str], order: str = "row_ord") -> DataFr
 
 def overlapping(df: DataFrame, entity: list[str]) -> DataFrame:
     """Elements that begin before the end of an earlier one."""
-    w = Window.partitionBy(*entity).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return _found(df.withColumn("__e", F.max("end").over(w)).where(F.col("start") < F.col("__e")), "V20 overlap", *entity, "start", "end")
+    seen = ordered_values(df.select(*entity, "start", "end"), entity, ["start", "end"], {"__e": (MAX_BEFORE, "end")})
+    return _found(seen.where(F.col("start") < F.col("__e")), "V20 overlap", *entity, "start", "end")
 
 
 def repeated_ids(df: DataFrame) -> DataFrame:

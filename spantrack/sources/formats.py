@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .lines import first_error, number_of, strand_of, unquote
+from .lines import first_error, number_of, sealed, strand_of, unquote
 
 BED_EXTRAS = ("thickstart", "thickend", "itemrgb", "blockcount", "blocksizes", "blockstarts")
 
@@ -17,7 +17,7 @@ def _data(lines: DataFrame, header: str | None = "track") -> DataFrame:
     keep = F.col("line").isNotNull() & (F.trim("line") != "") & ~F.col("line").startswith("#")
     if header:
         keep = keep & ~F.col("line").rlike(rf"^({header}|browser)\b")
-    return lines.where(keep).withColumn("c", F.split("line", "\t", -1))
+    return sealed(lines.where(keep).withColumn("c", F.split("line", "\t", -1)))
 
 
 def _c(i: int) -> Column:
@@ -41,7 +41,7 @@ def bed(lines: DataFrame) -> DataFrame:
         "file", "ord", _c(0).alias("seqid"), _int(_c(1)).alias("start"), _int(_c(2)).alias("end"),
         F.when(n > 4, score).alias("val"), F.when(n > 5, strand_of(_c(5))).alias("strand"), _c(3).alias("name"),
         *[_c(6 + i).alias(x) for i, x in enumerate(BED_EXTRAS)], n.alias("n_columns"))
-    return d.withColumn("error", first_error(
+    return sealed(d).withColumn("error", first_error(
         (~F.col("n_columns").between(3, 12), "column count"), *_interval_rules(F.col("start"), F.col("end")),
         ((F.col("n_columns") > 4) & ~F.coalesce(F.col("val").between(0, 1000), F.lit(False)), "score"),
         ((F.col("n_columns") > 5) & F.col("strand").isNull(), "strand")))
@@ -64,7 +64,7 @@ def valued_bed(lines: DataFrame) -> DataFrame:
     n = F.size("c")
     d = d.select("file", "ord", _c(0).alias("seqid"), _int(_c(1)).alias("start"), _int(_c(2)).alias("end"), number_of(_c(4)).alias("val"),
                  F.when(n > 5, strand_of(_c(5))).alias("strand"), _c(3).alias("name"), n.alias("n_columns"))
-    return d.withColumn("error", first_error(
+    return sealed(d).withColumn("error", first_error(
         (~F.col("n_columns").between(5, 12), "column count"), *_interval_rules(F.col("start"), F.col("end")), (F.col("val").isNull(), "value"),
         ((F.col("n_columns") > 5) & F.col("strand").isNull(), "strand")))
 
@@ -75,7 +75,7 @@ def category_bed(lines: DataFrame) -> DataFrame:
     n = F.size("c")
     d = d.select("file", "ord", _c(0).alias("seqid"), _int(_c(1)).alias("start"), _int(_c(2)).alias("end"), _c(3).alias("val"),
                  F.when(n > 5, strand_of(_c(5))).alias("strand"), _c(4).alias("score"), n.alias("n_columns"))
-    return d.withColumn("error", first_error(
+    return sealed(d).withColumn("error", first_error(
         (~F.col("n_columns").between(4, 12), "column count"), *_interval_rules(F.col("start"), F.col("end")),
         ((F.col("n_columns") > 5) & F.col("strand").isNull(), "strand")))
 
@@ -83,7 +83,7 @@ def category_bed(lines: DataFrame) -> DataFrame:
 def bedgraph(lines: DataFrame) -> DataFrame:
     d = _data(lines).withColumn("c", F.split(F.trim("line"), r"\s+"))
     d = d.select("file", "ord", _c(0).alias("seqid"), _int(_c(1)).alias("start"), _int(_c(2)).alias("end"), number_of(_c(3)).alias("val"), F.size("c").alias("n"))
-    return d.withColumn("error", first_error((F.col("n") != 4, "column count"), *_interval_rules(F.col("start"), F.col("end")),
+    return sealed(d).withColumn("error", first_error((F.col("n") != 4, "column count"), *_interval_rules(F.col("start"), F.col("end")),
                                              (F.col("val").isNull(), "value"))).drop("n")
 
 
@@ -106,7 +106,7 @@ def gff(lines: DataFrame, category: bool = False) -> DataFrame:
         (unquote(_c(2)) if category else score).alias("val"), strand_of(_c(6)).alias("strand"), unquote(attribute("ID")).alias("id"),
         unquote(_c(1)).alias("source"), *([_c(5).alias("score")] if category else [unquote(_c(2)).alias("type")]), _c(7).alias("phase"),
         unquote(_c(8)).alias("attributes"), unquote(attribute("Name")).alias("name"))
-    return d.withColumn("error", first_error((F.col("n") != 9, "column count"), *_interval_rules(F.col("start"), F.col("end")),
+    return sealed(d).withColumn("error", first_error((F.col("n") != 9, "column count"), *_interval_rules(F.col("start"), F.col("end")),
                                              (F.col("val").isNull(), "score"), (F.col("strand").isNull(), "strand"))).drop("n")
 
 
@@ -135,7 +135,7 @@ def wig(lines: DataFrame) -> DataFrame:
     d = d.select("file", "ord", F.col("decl.seqid").alias("seqid"), start.alias("start"), (start + F.col("decl.span")).alias("end"),
                  number_of(F.when(fixed, _c(0)).otherwise(_c(1))).alias("val"), F.col("decl.at").alias("decl"), fixed.alias("fixed"),
                  F.col("decl.step").alias("step"), F.col("decl.span").alias("span"), F.size("c").alias("n"))
-    return d.withColumn("error", first_error(
+    return sealed(d).withColumn("error", first_error(
         (F.col("seqid").isNull(), "no declaration"), (F.col("n") != F.when(F.col("fixed"), 1).otherwise(2), "column count"),
         ((F.col("step") < 1) | (F.col("span") < 1), "step or span"), (F.col("start") < 0, "start"), (F.col("val").isNull(), "value"))).drop("n")
 
@@ -185,7 +185,7 @@ def microarray(lines: DataFrame) -> DataFrame:
     at = lambda i: F.array_position("ids", i)
     val = F.transform(F.sequence(F.lit(0), F.greatest(F.col("width") - 1, F.lit(0))), lambda i: F.when(
         at(i) > 0, F.get("scores", (at(i) - 1).cast("int"))).otherwise(F.lit(float("nan"))))
-    return d.withColumn("val", val).withColumn("error", first_error(
+    return sealed(d.withColumn("val", val)).withColumn("error", first_error(
         (~F.col("typed") | ~F.col("scaled"), "header"), (F.col("width") < 3, "experiments"), (F.col("n") != 15, "column count"),
         *_interval_rules(F.col("start"), F.col("end")), (F.col("strand").isNull(), "strand"),
         ((F.size("ids") != F.col("k")) | (F.size("scores") != F.col("k")), "score count"),
@@ -211,7 +211,7 @@ def tabular(lines: DataFrame, columns: dict[str, str], separator: str = "\t") ->
     d = _data(lines).withColumn("c", F.split("line", separator, -1))
     cast = {name: _c(i).try_cast(kind) for i, (name, kind) in enumerate(columns.items())}
     out = d.select("file", "ord", F.size("c").alias("n"), *[x.alias(name) for name, x in cast.items()])
-    return out.withColumn("error", first_error((F.col("n") < len(columns), "column count"), *[
+    return sealed(out).withColumn("error", first_error((F.col("n") < len(columns), "column count"), *[
         (F.col(name).isNull(), name) for name in columns])).drop("n")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..errors import InvalidFormatError
 from ..types import TRACK_TYPES
 from . import subtypes
-from .lines import first_error, strand_of, unquote
+from .lines import first_error, sealed, strand_of, unquote
 
 # Fixed values of the format: its suffix, header variables with their defaults, and columns.
 SUFFIX = "gtrack"
@@ -225,7 +225,7 @@ def parse(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> Da
             "*", F.posexplode(F.regexp_extract_all("line", F.lit(f".{{{n}}}"), F.lit(0))).alias("part", "piece")).drop("line").withColumnRenamed("piece", "line")
     else:
         d = d.withColumn("part", F.lit(0))
-    d = d.withColumn("c", F.split("line", "\t", -1))
+    d = sealed(d.withColumn("c", F.split("line", "\t", -1)))
     cell = {name: F.get("c", F.lit(i)) for i, name in enumerate(h.columns)}
     renamed = {str(h["value column"]): "value", str(h["edges column"]): "edges"}
     cell = {renamed.get(name, name): x for name, x in cell.items()}
@@ -289,6 +289,6 @@ def parse(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> Da
             safe = "__" + name if name in ("extra", "val", "chr", "subtype", "file", "ord", "error", "br", "c", "line") or name.startswith("_") else name
             columns[safe] = x
     d = d.select("file", "ord", "part", "br", "br_ord", "c", *[x.alias(n) for n, x in columns.items()])
-    d = d.withColumn("error", first_error(*rules))
+    d = sealed(d).withColumn("error", first_error(*rules))
     keep = [n for n in columns if n != "__parts"]
     return d.select("file", "ord", "part", "br_ord", *keep, "error")

@@ -25,6 +25,12 @@ def lines_of(spark: SparkSession, name: str, lines: list[str]) -> DataFrame:
         "file", F.struct("block", "nth").alias("ord"), "line")
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """``df`` as it is, behind a generator: a later filter is evaluated on the columns made so far
+    and not on copies of the expressions that make them."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def first_error(*rules: tuple[Column, str]) -> Column:
     """Name of the first rule that is broken (or can't be evaluated), null if none is."""
     return F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), F.lit(name)) for broken, name in rules], F.lit(None).cast("string"))

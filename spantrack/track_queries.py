@@ -21,6 +21,7 @@ from .operators import overlap as O
 from .operators import randomise as RND
 from .operators import slicing as S
 from .operators import stats as ST
+from .operators import windows as W
 from .operators.complement import complement
 from .plans import track_view
 from .queries import query
@@ -274,10 +275,8 @@ def binary_span(spark, d):
 @query(f"""WITH t AS (SELECT genome, chr, "start" AS s, "end" AS e, max("end") OVER (PARTITION BY genome, chr ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
  FROM track_elements WHERE {GOOD}) SELECT genome, chr AS seqid, bool_or(coalesce(s < m, false)) AS has_overlap FROM t GROUP BY ALL""")
 def has_overlap(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("genome", "seqid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    t = _segments(spark, d).withColumn("m", F.max("end").over(w))
+    s = _segments(spark, d).select("genome", "seqid", "start", "end")
+    t = W.ordered_values(s, ["genome", "seqid"], ["start", "end"], {"m": (W.MAX_BEFORE, "end")})
     return t.groupBy("genome", "seqid").agg(F.bool_or(F.coalesce(F.col("start") < F.col("m"), F.lit(False))).alias("has_overlap"))
 
 
@@ -289,10 +288,8 @@ def topk_longest(spark, d):
 @query(f"""SELECT el_id, genome, chr AS seqid, "start", "end", row_number() OVER (PARTITION BY genome, chr ORDER BY "start", "end", el_id) AS place
 FROM (SELECT DISTINCT el_id, genome, chr, "start", "end" FROM step_elements WHERE {GOOD})""")
 def sort_elements(spark, d):
-    from pyspark.sql import Window
-
     t = _steps(spark, d).select("el_id", "genome", "seqid", "start", "end").distinct()
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("genome", "seqid").orderBy("start", "end", "el_id")))
+    return W.ordered_values(t, ["genome", "seqid"], ["start", "end", "el_id"], {"place": (W.ROW, None)})
 
 
 # Joins

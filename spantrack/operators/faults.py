@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.lines import sealed
+
 # Fixed values of the line format.
 QUOTED_CELL = r'(?<=^|\t)"[^"]*+(?:""[^"]*+)*+"(?=\t|$)'
 ANY_CELL = r'(?<=^|\t)(?:"[^"]*+(?:""[^"]*+)*+"|[^"\t]*+)(?=\t|$)'
@@ -16,10 +18,6 @@ NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 DIGITS = r"^[0-9]+$"
 
 
-def _sql_text(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def _whole(text: Column) -> Column:
     """Digits as a number; null when there are more than any position can have."""
     stripped = F.regexp_replace(text, r"^0+(?=[0-9])", "")
@@ -55,11 +53,10 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
     data = data.select(
         "line_id", "genome", "line", spec.alias("spec"),
         (has_quote & F.regexp_replace("line", QUOTED_CELL, "").contains('"')).alias("bad_quotes"),
-        F.when(has_quote, F.regexp_extract_all("line", _sql_text(ANY_CELL), F.lit(0)))
+        F.when(has_quote, F.regexp_extract_all("line", F.lit(ANY_CELL), F.lit(0)))
         .otherwise(F.split("line", "\t", -1)).alias("cells"),
     )
-
-
+    data = sealed(data)
     columns = ("seqid", "start", "end", "value")
     data = data.select(
         "line_id", "genome", "bad_quotes", (F.size("cells") != F.size("spec")).alias("bad_count"),
@@ -75,6 +72,7 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
             for c in columns
         ],
     )
+    data = sealed(data)
     # Left to Catalyst: it broadcasts the sequences only where their size is below the threshold.
     known = sequences.where(F.col("genome").isNotNull() & F.col("seqid").isNotNull()).groupBy(
         F.col("genome").alias("s_genome"), F.col("seqid").alias("s_seqid")).agg(F.max("length").alias("s_length"))
@@ -84,7 +82,7 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
     number = F.when(F.col("t_value").rlike(NUMBER), F.col("t_value").try_cast("double"))
     finite = number.isNotNull() & (F.abs(number) < F.lit(float("inf")))
     missing = F.lower("t_value").isin(*MISSING)
-    data = data.withColumns({"p_start": start, "p_end": end, "p_value": F.when(finite, number)})
+    data = sealed(data.withColumns({"p_start": start, "p_end": end, "p_value": F.when(finite, number)}))
 
     def rule(broken: Column, name: str) -> Column:
         return F.when(F.coalesce(broken, F.lit(True)), F.lit(name))
@@ -98,10 +96,10 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
         F.when(cells_hold, rule((F.col("p_end") <= F.col("p_start")) | (F.col("p_end") > F.col("s_length")), "end")),
         F.when(cells_hold, rule(~(missing | F.col("p_value").isNotNull()), "value")),
     ))
-    return data.select(
-        "line_id", "genome", F.col("t_seqid").alias("seqid"), F.col("p_start").cast("int").alias("start"),
+    return sealed(data.select(
+        "line_id", "genome", F.col("t_seqid").alias("seqid"), F.col("p_start").try_cast("int").alias("start"),
         F.col("p_end").try_cast("int").alias("end"), F.col("p_value").alias("value"), errors.alias("errors"),
-    )
+    ))
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

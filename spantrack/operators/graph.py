@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..errors import NotSupportedError
+
+MOST_MATRIX_NODES = 5_000
+
 
 def edge_list(track: DataFrame, undirected: bool = False) -> DataFrame:
     """(src, dst, weight) of all links; of an undirected graph each link once (src <= dst)."""
@@ -50,7 +54,10 @@ def weight_matrix(edges: DataFrame, complete: bool = False, rows_as_from: bool =
     cells = edges.groupBy(F.col(r).alias("row_id"), F.col(c).alias("col_id")).agg(F.max("weight").alias("weight"))
     if not complete:
         return cells
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    if nodes.count() > MOST_MATRIX_NODES:
+        raise NotSupportedError(f"a complete matrix is for at most {MOST_MATRIX_NODES} nodes")
+    ids = nodes.agg(F.array_sort(F.collect_list("id")).alias("ids"))
     grid = ids.select(F.explode("ids").alias("row_id"), "ids").select("row_id", F.explode("ids").alias("col_id"))
     return grid.join(cells, ["row_id", "col_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(missing)))
 

@@ -21,6 +21,7 @@ from .operators import overlap as O
 from .operators import randomise as RND
 from .operators import slicing as S
 from .operators import stats as ST
+from .operators import user_bins as U
 from .operators import windows as W
 from .operators.complement import complement
 from .plans import track_view
@@ -552,3 +553,23 @@ def sampled_by_intensity_counts(spark, d):
 def events_per_hour(spark, d):
     e = table(spark, d, "events")
     return streaming.windowed_counts(e, "ts", "event_type", "value").drop("total")
+
+
+# Analysis regions
+@query(_ISLANDS.format(table="linked_elements") + """, c AS (SELECT genome, chr AS seqid, isl, min("start") AS s, max("end") AS e FROM g GROUP BY ALL)
+SELECT c.genome, c.seqid, s AS "start", e AS "end" FROM c JOIN genome_seq q ON q.genome = c.genome AND q.seqid = c.seqid WHERE s >= 0 AND e <= length""")
+def track_envelope(spark, d):
+    t = table(spark, d, "linked_elements").where(F.col("chr").isNotNull()).withColumnRenamed("chr", "seqid")
+    return U.envelope(t, table(spark, d, "genome_seq"))
+
+
+@query("SELECT el_id, val FROM linked_elements WHERE contains(val, 'oo') OR contains(val, 'em')")
+def category_filter(spark, d):
+    return U.category_filter(table(spark, d, "linked_elements"), ["oo", "em"], strict=False).select("el_id", "val")
+
+
+@query("WITH " + _BINS.format(n=5000000) + f""" SELECT bins.genome, bins.seqid, bins."start", bins."end", CAST(max(t."end" - t."start") AS DOUBLE) AS val FROM bins
+JOIN (SELECT * FROM linked_elements WHERE {GOOD}) t ON t.genome = bins.genome AND t.chr = bins.seqid AND t."start" < bins."end" AND t."end" > bins."start" GROUP BY ALL""")
+def window_callback(spark, d):
+    t = table(spark, d, "linked_elements").where(F.col("chr").isNotNull() & (F.col("end") > F.col("start"))).withColumnRenamed("chr", "seqid")
+    return U.window_function(t.select("genome", "seqid", "start", "end"), _bins(spark, d), ["genome", "seqid"], lambda x: float((x["end"] - x["start"]).max()), size=1_000_000)

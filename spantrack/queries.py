@@ -80,14 +80,19 @@ SELECT chr AS key, count(*) AS n_rows, count(DISTINCT p) AS n_starts, CAST(coale
 FROM o GROUP BY chr"""
 
 
+def _narrow_sum(summary: DataFrame) -> DataFrame:
+    """The sum as the BIGINT of the SQL; one that doesn't fit raises."""
+    return summary.withColumn("sum_milli", F.col("sum_milli").cast("long"))
+
+
 @query(_p2_sql("track_elements"))
 def p2_summary_track(spark, d):
-    return per_key_summary(table(spark, d, "track_elements"), "chr", "start", "val", "el_id")
+    return _narrow_sum(per_key_summary(table(spark, d, "track_elements"), "chr", "start", "val", "el_id"))
 
 
 @query(_p2_sql("step_elements"))
 def p2_summary_step(spark, d):
-    return per_key_summary(table(spark, d, "step_elements"), "chr", "start", "val", "el_id")
+    return _narrow_sum(per_key_summary(table(spark, d, "step_elements"), "chr", "start", "val", "el_id"))
 
 
 # 4. Overlapping and gapped intervals

@@ -454,11 +454,13 @@ def bed_parse_lines(spark, d):
     return P.bed(lines).where("error is null").select(F.col("ord.nth").alias("el_id"), "seqid", "start", "end", "val", "strand", "name")
 
 
-@query(f"""SELECT el_id, chr AS seqid, "start", "end", val FROM track_elements WHERE {GOOD} AND "start" >= 0 AND val IS NOT NULL""")
+@query(f"""SELECT el_id, chr AS seqid, "start", "end", CASE WHEN val::VARCHAR <> 'nan' THEN val END AS val, val::VARCHAR = 'nan' AS missing
+FROM track_elements WHERE {GOOD} AND "start" >= 0 AND val IS NOT NULL""")
 def bedgraph_parse_lines(spark, d):
     s = _segments(spark, d).where("start >= 0 and val is not null")
     value = F.when(F.isnan("val"), "NaN").otherwise(F.col("val").cast("string"))
-    return P.bedgraph(_as_lines(s, "seqid", "start", "end", value)).where("error is null").select(F.col("ord.nth").alias("el_id"), "seqid", "start", "end", "val")
+    parsed = P.bedgraph(_as_lines(s, "seqid", "start", "end", value)).where("error is null")
+    return parsed.select(F.col("ord.nth").alias("el_id"), "seqid", "start", "end", F.nanvl("val", F.lit(None).cast("double")).alias("val"), F.isnan("val").alias("missing"))
 
 
 @query(f"""SELECT el_id, chr AS seqid, "start" - 1 AS "start", "end", 'e' || el_id AS id, 'a+b c' AS name FROM track_elements WHERE {GOOD} AND "start" >= 1""")
@@ -510,12 +512,36 @@ def bed_compose_lines(spark, d):
 
 
 # Null models: what must stay the same
-@query(f"""WITH t AS (SELECT sample_id, chr, el_id, any_value("end" - "start") AS n, any_value(val) AS val FROM step_elements WHERE {GOOD} AND val IS NOT NULL GROUP BY ALL)
-SELECT chr AS seqid, count(*) AS n_elements, CAST(sum(n) AS BIGINT) AS total_length, min(val) AS lo, max(val) AS hi FROM t GROUP BY ALL""")
+_LATEST = "SELECT * FROM {table} QUALIFY el_id IS NULL OR row_number() OVER (PARTITION BY el_id ORDER BY loaded_at DESC) = 1"
+
+
+def _latest(df):
+    """The version of every el_id that was loaded last; rows without one stay."""
+    own = df.where("el_id is not null").groupBy("el_id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), "loaded_at").alias("r"))
+    return own.select("r.*").unionByName(df.where("el_id is null"))
+
+
+def _marks(spark, d):
+    t = _latest(table(spark, d, "step_elements"))
+    return t.where(F.col("chr").isNotNull() & (F.col("end") > F.col("start")) & F.col("val").isNotNull()).withColumnRenamed("chr", "seqid")
+
+
+@query(f"""WITH t AS ({_LATEST.format(table="step_elements")})
+SELECT genome, chr AS seqid, CASE WHEN NOT isnan(val) THEN val END AS val, isnan(val) AS missing, count(*) AS n_elements
+FROM t WHERE {GOOD} AND val IS NOT NULL GROUP BY ALL""")
 def shuffled_marks_invariants(spark, d):
-    t = _steps(spark, d).where("val is not null").dropDuplicates(["el_id", "sample_id", "seqid"])
-    x = RND.shuffle_marks(t, ["seqid"], "val", 7, ["el_id"])
-    return x.groupBy("seqid").agg(F.count("*").alias("n_elements"), F.sum(F.col("end") - F.col("start")).alias("total_length"), F.min("val").alias("lo"), F.max("val").alias("hi"))
+    """The multiset of values of every sequence stays what it was."""
+    x = RND.shuffle_marks(_marks(spark, d), ["genome", "seqid"], "val", 7, ["el_id"])
+    return x.groupBy("genome", "seqid", F.nanvl("val", F.lit(None).cast("double")).alias("val"), F.isnan("val").alias("missing")).agg(F.count("*").alias("n_elements"))
+
+
+@query(f"""WITH t AS ({_LATEST.format(table="step_elements")})
+SELECT el_id, genome, chr AS seqid, "start", "end", true AS most_moved FROM t WHERE {GOOD} AND val IS NOT NULL""")
+def shuffled_marks_places(spark, d):
+    """Every element keeps its place, and most of all elements get the value of another one."""
+    x = RND.shuffle_marks(_marks(spark, d).withColumn("was", F.col("val")), ["genome", "seqid"], "val", 7, ["el_id"])
+    moved = x.agg((F.avg((F.col("was") != F.col("val")).cast("int")) > 0.5).alias("most_moved")).first()[0]
+    return x.select("el_id", "genome", "seqid", "start", "end", F.lit(moved).alias("most_moved"))
 
 
 def _permuted(sampled):

@@ -38,7 +38,9 @@ NAME_BITS, MIX_BITS, SEPARATOR_BITS, QUOTED_BITS, QUOTE_BITS = 7.0, 8.0, 1.0, 2.
 #: Signatures up to this number are broadcast to the lists; more are joined by a shuffle.
 BROADCAST_SIGNATURES = 50_000
 
-_BLANK = r"\p{IsWhite_Space}"
+# White space, as characters and as the inside of a class.
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_B = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _QUOTED = {q: f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}" for q in QUOTES}
 #: Quotes of a dialect by number: bit 0 is the double quote, bit 1 the single one.
 _SETS = ["", '"', "'", "\"'"]
@@ -73,18 +75,18 @@ class ValueCode:
 
 def strip_list(text: Column) -> Column:
     """Without the blanks at the ends and the brackets around the whole list, however many."""
-    trim = lambda x: F.regexp_replace(x, rf"\A{_BLANK}+|{_BLANK}+\z", "")
-    inner = rf"\A(?:\[([\s\S]*)\]|\(([\s\S]*)\)|\{{([\s\S]*)\}}|<([\s\S]*)>)\z"
-    once = lambda x: F.when(x.rlike(inner), trim(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+    trim = lambda x: F.btrim(x, F.lit(_SPACES))
+    around = lambda x: F.concat(F.left(x, F.lit(1)), F.right(x, F.lit(1))).isin(*[a + b for a, b in BRACKETS.items()]) & (F.length(x) > 1)
     whole = trim(text)
-    opening = F.length(F.regexp_replace(F.regexp_extract(whole, rf"\A[\[({{<{_BLANK}]*", 0), _BLANK, ""))
-    return F.when(whole.rlike(r"\A[\[({<]"), F.aggregate(F.sequence(F.lit(1), opening), whole, lambda x, _: once(x))).otherwise(whole)
+    opening = F.length(F.regexp_replace(F.regexp_extract(whole, rf"\A[\[({{<{_B}]*", 0), f"[{_B}]", ""))
+    inner = F.aggregate(F.sequence(F.lit(1), opening), whole, lambda x, _: F.when(around(x), trim(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x))
+    return F.when(around(whole), inner).otherwise(whole)
 
 
 def signature(text: Column) -> Column:
     """The foreign characters of a list, each once, in order; every white space counts as a blank."""
-    foreign = F.regexp_replace(F.regexp_replace(text, f"[{VALUE_CHARS}]+", ""), _BLANK, " ")
-    return F.array_join(F.array_sort(F.array_distinct(F.split(foreign, ""))), "")
+    foreign = F.translate(F.regexp_replace(text, f"[{VALUE_CHARS}]++", ""), _SPACES, " " * len(_SPACES))
+    return F.when(foreign == "", "").otherwise(F.array_join(F.array_sort(F.array_distinct(F.split(foreign, ""))), ""))
 
 
 class _Buffer:
@@ -100,7 +102,7 @@ class _Buffer:
         self.group = group[self.owner] if len(texts) else np.zeros(1, np.int64)
         self.cls = np.where(self.cp < 128, _CLASS[np.minimum(self.cp, 127)], EDGE)
         space = np.zeros(0x3001, dtype=bool)
-        space[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+        space[[ord(c) for c in _SPACES]] = True
         self.blank = (self.cp <= 0x3000) & space[np.minimum(self.cp, 0x3000)]
         self.seen = (self.cls == EDGE) & ~self.blank & (self.cp != ord(self.END))
 
@@ -237,33 +239,27 @@ def dialects(lists: DataFrame, fields: int) -> DataFrame:
     return best.select("field", "signature", "d.quotes", "d.delimiter")
 
 
-def split_items(text: Column, quotes: Column, delimiter: Column) -> Column:
-    """The places of a list as written, in order, by its dialect."""
-    mixed, blank = delimiter == MIXED, delimiter == BLANK
-    safe = lambda x: F.replace(x, F.lit("\x01"), F.lit("\x01\x02"))
-    cut = rf"{_BLANK}*{_MARK}{_BLANK}*"
-    bare = F.when(mixed, F.split(safe(text), rf"{_BLANK}*[^{VALUE_CHARS}{_BLANK}{QUOTES}]{_BLANK}*|{_BLANK}+", -1)).when(
-        blank, F.split(safe(text), rf"{_BLANK}+", -1)).otherwise(F.split(F.replace(safe(text), delimiter, F.lit(_MARK)), cut, -1))
-
-    def pieces(own: str) -> Column:
+def place_pattern(quotes: Column, delimiter: Column) -> Column:
+    """Pattern of one place of a list with the separator behind it; its first group is the place as
+    written."""
+    out = None
+    for k, own in enumerate(_SETS):
         alien = "".join(q for q in QUOTES if q not in own)
-        quoted = "|".join(_QUOTED[q] for q in own)
-        return F.regexp_extract_all(text, F.lit(
-            rf"{quoted}|[{VALUE_CHARS}{alien}]+|{_BLANK}*+(?!{quoted})[^{VALUE_CHARS}{_BLANK}{alien}]{_BLANK}*|{_BLANK}+"), F.lit(0))
-
-    found = F.when(quotes == 1, pieces('"')).when(quotes == 2, pieces("'")).otherwise(pieces("\"'"))
-    value = lambda p: p.rlike(rf"\A[{VALUE_CHARS}]") | (p.rlike(r"""\A["']""") & ((F.length(p) > 1) & (F.right(p, F.lit(1)) == F.left(p, F.lit(1)))))
-    bared = lambda p: F.regexp_replace(p, _BLANK, "")
-
-    def written(pieces: Column) -> Column:
-        def one(p: Column, i: Column) -> Column:
-            apart = (i > 0) & value(F.get(pieces, i - 1))
-            return F.when(value(p), F.concat(F.when(apart, _MARK).otherwise(""), safe(p))).when(
-                mixed | F.when(blank, bared(p) == "").otherwise(bared(p) == delimiter), _MARK).otherwise(safe(p))
+        quoted = "|".join(_QUOTED[q] for q in own) or r"(?!)"
+        lone = f"[{own}]" if own else r"(?!)"
+        mixed = rf"({quoted}|[{VALUE_CHARS}{alien}]++)?+(?:[{_B}]*+(?!{quoted})[^{VALUE_CHARS}{_B}{alien}][{_B}]*+|[{_B}]++|\z|(?={quoted}|[{VALUE_CHARS}{alien}]))"
+        blank = rf"({quoted}|[^{_B}{own}]++|{lone})?+(?:[{_B}]++|\z|(?=[^{_B}]))"
+        one = F.concat(F.lit(rf"[{_B}]*+((?:{quoted}|(?!\Q"), delimiter, F.lit(rf"\E)[^{_B}{own}]|(?!\Q"), delimiter, F.lit(rf"\E){lone}|[{_B}]++(?!\Q"),
+                       delimiter, F.lit(rf"\E|\z))*+)[{_B}]*+(?:\Q"), delimiter, F.lit(r"\E|\z)"))
+        pattern = F.when(delimiter == MIXED, F.lit(mixed)).when(delimiter == BLANK, F.lit(blank)).otherwise(one)
+        out = F.when(quotes == k, pattern) if out is None else out.when(quotes == k, pattern)
+    return out
 
-        return F.split(F.array_join(F.transform(pieces, one), ""), _MARK, -1)
 
-    return F.when(quotes == 0, bare).otherwise(F.get(F.transform(F.array(found), written), F.lit(0)))
+def split_items(text: Column, pattern: Column) -> Column:
+    """The places of a list as written, in order (and up to two empty ones at the end)."""
+    safe = F.replace(text, F.lit("\x01"), F.lit("\x01\x02"))
+    return F.split(F.regexp_replace(safe, pattern, F.lit("$1" + _MARK)), _MARK, -1)
 
 
 def unpack_lists(df: DataFrame, row_id: str, fields: list[str], carry: list[str] = ()) -> DataFrame:
@@ -281,13 +277,14 @@ def unpack_lists(df: DataFrame, row_id: str, fields: list[str], carry: list[str]
                       lambda x: x["text"] != "")
     lists = df.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], F.explode(packed).alias("l"))
     lists = sealed(lists.select(*own.values(), F.col("l.field").alias("field"), F.col("l.text").alias("text"), signature(F.col("l.text")).alias("signature")))
-    chosen = materialise(dialects(lists, len(fields)))
+    chosen = dialects(lists, len(fields))
+    chosen = materialise(chosen.select("field", "signature", "quotes", place_pattern(F.col("quotes"), F.col("delimiter")).alias("pattern")))
     if chosen.count() <= BROADCAST_SIGNATURES:
         chosen = F.broadcast(chosen)
     # Lists without a foreign character hold one value and have no dialect.
     placed = lists.join(chosen, ["field", "signature"], "left").select(
-        *own.values(), "field", F.coalesce("quotes", F.lit(0)).alias("quotes"),
-        F.posexplode(split_items(F.col("text"), F.coalesce("quotes", F.lit(0)), F.coalesce("delimiter", F.lit(BLANK)))).alias("pos", "written"))
+        *own.values(), "field", F.coalesce("quotes", F.lit(0)).alias("quotes"), F.posexplode(
+            F.when(F.col("pattern").isNull(), F.array("text")).otherwise(split_items(F.col("text"), F.col("pattern")))).alias("pos", "written"))
     placed = placed.withColumn("written", F.when(F.contains("written", F.lit("\x01")), F.replace("written", F.lit("\x01\x02"), F.lit("\x01"))).otherwise(F.col("written")))
     item, is_quoted = F.col("written"), F.lit(False)
     for k, q in enumerate(QUOTES):

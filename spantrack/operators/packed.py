@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import materialise
-from ..sources.lines import sealed
 
 # Fixed values of the list format.
 VALUE_CHARS = r"A-Za-z0-9_:.+\-"
@@ -239,29 +238,29 @@ def dialects(lists: DataFrame, fields: int) -> DataFrame:
     return best.select("field", "signature", "d.quotes", "d.delimiter")
 
 
-def place_pattern(quotes: Column, delimiter: Column) -> Column:
-    """Pattern of one place of a list with the separator behind it; its first group is the place as
-    written."""
+def split_items(text: Column, quotes: Column, delimiter: Column) -> Column:
+    """The places of a list as written, in order (and up to two empty ones at the end). Patterns of
+    mixes and blanks are literals; that of a single character is short, since it is compiled
+    whenever the delimiter changes from row to row."""
+    safe = F.replace(text, F.lit("\x01"), F.lit("\x01\x02"))
+    marked = lambda pattern: F.split(F.regexp_replace(safe, pattern, F.lit("$1" + _MARK)), _MARK, -1)
     out = None
     for k, own in enumerate(_SETS):
         alien = "".join(q for q in QUOTES if q not in own)
-        quoted = "|".join(_QUOTED[q] for q in own) or r"(?!)"
-        lone = f"[{own}]" if own else r"(?!)"
-        mixed = rf"({quoted}|[{VALUE_CHARS}{alien}]++)?+(?:[{_B}]*+(?!{quoted})[^{VALUE_CHARS}{_B}{alien}][{_B}]*+|[{_B}]++|\z|(?={quoted}|[{VALUE_CHARS}{alien}]))"
-        blank = rf"({quoted}|[^{_B}{own}]++|{lone})?+(?:[{_B}]++|\z|(?=[^{_B}]))"
-        one = F.concat(F.lit(rf"[{_B}]*+((?:{quoted}|(?!\Q"), delimiter, F.lit(rf"\E)[^{_B}{own}]|(?!\Q"), delimiter, F.lit(rf"\E){lone}|[{_B}]++(?!\Q"),
-                       delimiter, F.lit(rf"\E|\z))*+)[{_B}]*+(?:\Q"), delimiter, F.lit(r"\E|\z)"))
-        pattern = F.when(delimiter == MIXED, F.lit(mixed)).when(delimiter == BLANK, F.lit(blank)).otherwise(one)
-        out = F.when(quotes == k, pattern) if out is None else out.when(quotes == k, pattern)
+        if own:
+            quoted = "|".join(_QUOTED[q] for q in own)
+            mixed = marked(F.lit(rf"({quoted}|[{VALUE_CHARS}{alien}]++)?+(?:[{_B}]*+(?!{quoted})[^{VALUE_CHARS}{_B}{alien}][{_B}]*+|[{_B}]++|\z|(?={quoted}|[{VALUE_CHARS}{alien}]))"))
+            blank = marked(F.lit(rf"({quoted}|[^{_B}{own}]++|[{own}])?+(?:[{_B}]++|\z|(?=[^{_B}]))"))
+            single = marked(F.concat(F.lit(rf"((?:{quoted}|[^\Q"), delimiter, F.lit(r"\E])*+)(?:\Q"), delimiter, F.lit(r"\E|\z)")))
+        else:
+            mixed = F.split(safe, rf"[{_B}]*+[^{VALUE_CHARS}{_B}{alien}][{_B}]*+|[{_B}]++", -1)
+            blank = F.split(safe, rf"[{_B}]++", -1)
+            single = F.split(F.replace(safe, delimiter, F.lit(_MARK)), _MARK, -1)
+        items = F.when(delimiter == MIXED, mixed).when(delimiter == BLANK, blank).otherwise(single)
+        out = F.when(quotes == k, items) if out is None else out.when(quotes == k, items)
     return out
 
 
-def split_items(text: Column, pattern: Column) -> Column:
-    """The places of a list as written, in order (and up to two empty ones at the end)."""
-    safe = F.replace(text, F.lit("\x01"), F.lit("\x01\x02"))
-    return F.split(F.regexp_replace(safe, pattern, F.lit("$1" + _MARK)), _MARK, -1)
-
-
 def unpack_lists(df: DataFrame, row_id: str, fields: list[str], carry: list[str] = ()) -> DataFrame:
     """Every value of the packed ``fields``, one per row: row_id, field, pos (from 0), item, and
     the columns of ``carry``.
@@ -276,16 +275,16 @@ def unpack_lists(df: DataFrame, row_id: str, fields: list[str], carry: list[str]
     packed = F.filter(F.array(*[F.struct(F.lit(i).alias("field"), strip_list(F.col(f"`{c}`")).alias("text")) for i, c in enumerate(fields)]),
                       lambda x: x["text"] != "")
     lists = df.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], F.explode(packed).alias("l"))
-    lists = sealed(lists.select(*own.values(), F.col("l.field").alias("field"), F.col("l.text").alias("text"), signature(F.col("l.text")).alias("signature")))
-    chosen = dialects(lists, len(fields))
-    chosen = materialise(chosen.select("field", "signature", "quotes", place_pattern(F.col("quotes"), F.col("delimiter")).alias("pattern")))
+    # Read twice: for the choice of dialects and for the parse.
+    lists = materialise(lists.select(*own.values(), F.col("l.field").alias("field"), F.col("l.text").alias("text"), signature(F.col("l.text")).alias("signature")))
+    chosen = materialise(dialects(lists, len(fields)))
     if chosen.count() <= BROADCAST_SIGNATURES:
         chosen = F.broadcast(chosen)
     # Lists without a foreign character hold one value and have no dialect.
     placed = lists.join(chosen, ["field", "signature"], "left").select(
         *own.values(), "field", F.coalesce("quotes", F.lit(0)).alias("quotes"), F.posexplode(
-            F.when(F.col("pattern").isNull(), F.array("text")).otherwise(split_items(F.col("text"), F.col("pattern")))).alias("pos", "written"))
-    placed = placed.withColumn("written", F.when(F.contains("written", F.lit("\x01")), F.replace("written", F.lit("\x01\x02"), F.lit("\x01"))).otherwise(F.col("written")))
+            F.when(F.col("quotes").isNull(), F.array("text")).otherwise(split_items(F.col("text"), F.col("quotes"), F.col("delimiter")))).alias("pos", "written"))
+    placed = placed.withColumn("written", F.btrim(F.replace("written", F.lit("\x01\x02"), F.lit("\x01")), F.lit(_SPACES)))
     item, is_quoted = F.col("written"), F.lit(False)
     for k, q in enumerate(QUOTES):
         here = (F.col("quotes").bitwiseAND(1 << k) > 0) & F.col("written").startswith(q) & F.col("written").endswith(q) & (F.length("written") > 1)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .operators.complement import complement
-from .operators.windows import LAG, MAX_BEFORE, ordered_values
+from .operators.windows import LAG, MAX_BEFORE, ROW, ordered_values
 from .sinks.headed import compose, header_for
 from .sources.headed import Header
 
@@ -15,10 +15,11 @@ LADDER = ("binary", "number", "category", "character")
 
 def standardise(track: DataFrame, order: list[str]) -> DataFrame:
     """Any track as linked valued segments with all seven columns; what is missing is filled."""
-    w = Window.partitionBy("seqid").orderBy(*order)
-    d, has = track, track.columns
+    has = track.columns
+    adds = {"__n": (ROW, None)} | ({"__e": (LAG, "end")} if "end" in has and "start" not in has else {})
+    d = ordered_values(track, ["seqid"], order, adds) if not {"start", "id"} <= set(has) else track
     if "start" not in has:
-        d = d.withColumn("start", F.coalesce(F.lag("end").over(w), F.lit(0)) if "end" in has else (F.row_number().over(w) - 1).cast("int"))
+        d = d.withColumn("start", F.coalesce("__e", F.lit(0)) if "end" in has else (F.col("__n") - 1).cast("int"))
     if "end" not in has:
         d = d.withColumn("end", F.col("start") + 1)
     if "val" not in has:
@@ -26,7 +27,7 @@ def standardise(track: DataFrame, order: list[str]) -> DataFrame:
     if "strand" not in has:
         d = d.withColumn("strand", F.lit(-1).cast("tinyint"))
     if "id" not in has:
-        d = d.withColumn("id", F.concat("seqid", F.lit("-"), (F.row_number().over(w) - 1).cast("string")))
+        d = d.withColumn("id", F.concat("seqid", F.lit("-"), (F.col("__n") - 1).cast("string")))
     if "edges" not in has:
         d = d.withColumn("edges", F.array().cast("array<string>"))
     extra = [c for c in has if c not in ("genome", "seqid", "start", "end", "val", "strand", "id", "edges", "weights")]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidFormatError
-from .windows import MAX_BEFORE, ordered_values
+from .windows import LAG, MAX_BEFORE, ordered_values
 
 VIOLATION = "rule string, detail string"
 
@@ -22,9 +22,8 @@ def positions(df: DataFrame, sequences: DataFrame, genome: str) -> DataFrame:
 
 
 def unsorted(df: DataFrame, entity: list[str], order: str = "row_ord") -> DataFrame:
-    w = Window.partitionBy(*entity).orderBy(order)
-    before = F.lag(F.struct("start", "end")).over(w)
-    return _found(df.withColumn("__b", before).where(F.col("__b") > F.struct("start", "end")), "V20 sorted", *entity, "start", "end")
+    seen = ordered_values(df.select(*entity, "start", "end", F.struct("start", "end").alias("__p"), order), entity, [order], {"__b": (LAG, "__p")})
+    return _found(seen.where(F.col("__b") > F.col("__p")), "V20 sorted", *entity, "start", "end")
 
 
 def overlapping(df: DataFrame, entity: list[str]) -> DataFrame:
@@ -55,12 +54,11 @@ def broken_edges(df: DataFrame, undirected: bool = False) -> DataFrame:
 def regions(br: DataFrame, dense_counts: bool = False) -> DataFrame:
     """Bounding regions of no length, that overlap or adjoin, or (dense tracks) whose number of
     elements isn't their length."""
-    w = Window.partitionBy("genome", "seqid").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    seen = ordered_values(br, ["genome", "seqid"], ["start", "end"], {"__b": (MAX_BEFORE, "end")})
     bad = (F.col("end") <= F.col("start")) | (F.col("start") <= F.coalesce(F.col("__b"), F.lit(-1)))
     if dense_counts:
         bad = bad | (F.col("el_count") != F.col("end") - F.col("start"))
-    return _found(br.withColumn("__b", before).where(bad), "V16 region", "seqid", "start", "end")
+    return _found(seen.where(bad), "V16 region", "seqid", "start", "end")
 
 
 def outside_regions(df: DataFrame, br: DataFrame) -> DataFrame:
@@ -74,8 +72,8 @@ def outside_regions(df: DataFrame, br: DataFrame) -> DataFrame:
 
 def split_sequences(df: DataFrame, order: str = "row_ord") -> DataFrame:
     """Dense files that come back to an earlier sequence: more than one run of a seqid per file."""
-    w = Window.partitionBy("file").orderBy(order)
-    runs = df.withColumn("__new", ~F.coalesce(F.lag("seqid").over(w) == F.col("seqid"), F.lit(False)))
+    seen = ordered_values(df.select("file", "seqid", order), ["file"], [order], {"__b": (LAG, "seqid")})
+    runs = seen.withColumn("__new", ~F.coalesce(F.col("__b") == F.col("seqid"), F.lit(False)))
     return _found(runs.groupBy("file", "seqid").agg(F.count(F.when(F.col("__new"), 1)).alias("n")).where("n > 1"), "V23 return", "file", "seqid", "n")
 
 

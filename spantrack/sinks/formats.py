@@ -6,9 +6,11 @@ come from ``HEADERS``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import NotSupportedError
+from ..operators.windows import LAG, ROW, ordered_values
+from ..session import materialise
 from ..types import TrackFormat
 from .lines import binary_text, number_text, strand_text
 
@@ -95,16 +97,17 @@ def wig(df: DataFrame) -> DataFrame:
     """fixedStep where starts go on evenly, else variableStep; a declaration stands before every
     change of sequence, span or step."""
     d = df.withColumn("__span", _end(df) - F.col("start"))
-    order = Window.partitionBy("seqid").orderBy("start")
-    d = d.withColumn("__step", F.lead("start").over(order) - F.col("start"))
-    d = d.withColumn("__even", (F.lag("__step").over(order) == F.lag("__span").over(order)) & (F.lag("__span").over(order) == F.col("__span")))
-    dense = d.agg(F.bool_and(F.coalesce("__even", F.lit(True))).alias("x")).first()["x"]
+    d = materialise(ordered_values(d, ["seqid"], ["start"], {"__at": (LAG, "start"), "__before": (LAG, "__span")}))
+    step = F.col("start") - F.col("__at")
+    # Null for the first element of a sequence.
+    goes_on = (step == F.col("__before")) & (F.col("__before") == F.col("__span"))
+    dense = d.agg(F.bool_and(F.coalesce(goes_on, F.col("__at").isNull())).alias("x")).first()["x"]
     if dense:
-        fresh = F.lag("start").over(order).isNull() | ~F.coalesce("__even", F.lit(False))
+        fresh = ~F.coalesce(goes_on, F.lit(False))
         head = F.format_string("fixedStep chrom=%s start=%d step=%d span=%d", F.col("seqid"), F.col("start") + 1, F.col("__span"), F.col("__span"))
         body = number_text(F.col("val"))
     else:
-        fresh = F.coalesce(F.lag("__span").over(order) != F.col("__span"), F.lit(True))
+        fresh = F.coalesce(F.col("__before") != F.col("__span"), F.lit(True))
         head = F.format_string("variableStep chrom=%s span=%d", F.col("seqid"), F.col("__span"))
         body = F.concat((F.col("start") + 1).cast("string"), F.lit(" "), number_text(F.col("val")))
     d = d.withColumn("__lines", F.when(fresh, F.array(head, body)).otherwise(F.array(body)))
@@ -114,14 +117,14 @@ def wig(df: DataFrame) -> DataFrame:
 
 def fasta(df: DataFrame, width: int = 60) -> DataFrame:
     """One record per stretch of neighbouring positions, ``width`` characters a line."""
-    order = Window.partitionBy("seqid").orderBy("start")
-    d = df.select("seqid", "start", F.col("val").cast("string").alias("val"))
-    d = d.withColumn("__new", F.when(F.coalesce(F.lag("start").over(order) == F.col("start") - 1, F.lit(False)), None).otherwise(F.col("start")))
-    d = d.withColumn("__s", F.last("__new", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    d = ordered_values(df.select("seqid", "start", F.col("val").cast("string").alias("val")), ["seqid"], ["start"], {"__n": (ROW, None)})
+    # Neighbouring positions have the same distance from their place.
+    d = d.withColumn("__d", F.col("start") - F.col("__n"))
+    begins = d.groupBy("seqid", "__d").agg(F.min("start").alias("__s"), (F.max("start") + 1).alias("e"))
+    d = d.join(begins.drop("e"), ["seqid", "__d"])
     rows = d.groupBy("seqid", "__s", F.floor((F.col("start") - F.col("__s")) / width).alias("n")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "val"))), lambda x: x["val"]), "").alias("text"))
-    ends = d.groupBy("seqid", "__s").agg((F.max("start") + 1).alias("e"))
-    heads = ends.select(F.col("seqid").alias("k_region"), F.lit(1).alias("k_kind"), F.col("__s").cast("long").alias("k_start"), F.lit(-1).cast("long").alias("k_end"),
+    heads = begins.select(F.col("seqid").alias("k_region"), F.lit(1).alias("k_kind"), F.col("__s").cast("long").alias("k_start"), F.lit(-1).cast("long").alias("k_end"),
                         F.lit(0).cast("long").alias("k_row"), F.format_string(">%s %d-%d", F.col("seqid"), F.col("__s") + 1, F.col("e")).alias("line"))
     body = rows.select(F.col("seqid").alias("k_region"), F.lit(1).alias("k_kind"), F.col("__s").cast("long").alias("k_start"), F.col("n").cast("long").alias("k_end"),
                        F.lit(1).cast("long").alias("k_row"), F.col("text").alias("line"))

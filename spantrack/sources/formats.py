@@ -6,8 +6,9 @@ columns of the format, and ``error`` (the broken rule, else null).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.windows import LAST, SUM, SUM_AT, ordered_values
 from .lines import first_error, number_of, sealed, strand_of, unquote
 
 BED_EXTRAS = ("thickstart", "thickend", "itemrgb", "blockcount", "blocksizes", "blockstarts")
@@ -114,24 +115,22 @@ def category_gff(lines: DataFrame) -> DataFrame:
     return gff(lines, True)
 
 
-def _carry(column: str) -> Column:
-    order = Window.partitionBy("file").orderBy("ord")
-    return F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-
-
 def wig(lines: DataFrame) -> DataFrame:
     """fixedStep and variableStep blocks. Adds span, step and decl (the place of the declaration),
-    from which the kind of track follows (see ``wig_kind``)."""
-    d = _data(lines).where(~F.col("line").startswith("browser"))
+    from which the kind of track follows (see ``wig_kind``). A file of any size is read in parts:
+    the last declaration is carried over their borders."""
+    d = _data(lines).where(~F.col("line").startswith("browser")).drop("c")
     is_declaration = F.col("line").rlike("^(fixed|variable)Step")
     field = lambda name: F.nullif(F.regexp_extract("line", rf"\b{name}=(\S+)", 1), F.lit(""))
     declared = F.when(is_declaration, F.struct(
         F.col("ord").alias("at"), F.col("line").startswith("fixed").alias("fixed"), field("chrom").alias("seqid"), _int(field("start")).alias("start"),
         F.coalesce(_int(field("step")), F.lit(1)).alias("step"), F.coalesce(_int(field("span")), F.lit(1)).alias("span")))
-    d = d.withColumn("decl", declared).withColumn("decl", _carry("decl")).where(~is_declaration).withColumn("c", F.split(F.trim("line"), r"\s+"))
-    nth = F.row_number().over(Window.partitionBy("file", "decl.at").orderBy("ord")) - 1
+    d = ordered_values(d.withColumns({"own": declared, "one": F.lit(1)}), ["file"], ["ord"], {
+        "decl": (LAST, "own"), "place": (SUM, "one"), "block": (SUM_AT, ("one", "own"))})
+    d = sealed(d.where(F.col("own").isNull()).withColumn("c", F.split(F.trim("line"), r"\s+")))
+    nth = F.col("place") - F.col("block") - 1
     fixed = F.col("decl.fixed")
-    start = F.when(fixed, F.col("decl.start") - 1 + nth * F.col("decl.step")).otherwise(_int(_c(0)) - 1)
+    start = F.when(fixed, (F.col("decl.start") - 1 + nth * F.col("decl.step")).cast("int")).otherwise(_int(_c(0)) - 1)
     d = d.select("file", "ord", F.col("decl.seqid").alias("seqid"), start.alias("start"), (start + F.col("decl.span")).alias("end"),
                  number_of(F.when(fixed, _c(0)).otherwise(_c(1))).alias("val"), F.col("decl.at").alias("decl"), fixed.alias("fixed"),
                  F.col("decl.step").alias("step"), F.col("decl.span").alias("span"), F.size("c").alias("n"))
@@ -150,23 +149,29 @@ def wig_kind(parsed: DataFrame) -> DataFrame:
     return per.select("file", kind.alias("kind"), (F.col("fixed") != F.col("any_fixed")).alias("mixed"))
 
 
-def wig_regions(parsed: DataFrame) -> DataFrame:
-    """Bounding regions of (step) functions: abutting fixedStep blocks joined."""
+def wig_regions(parsed: DataFrame, adjacent: bool = True) -> DataFrame:
+    """Bounding regions of (step) functions: abutting fixedStep blocks joined. With ``adjacent``
+    off, abutting blocks are an error instead and the regions come with ``error``."""
     from ..operators.intervals import covered_and_gaps
 
     blocks = parsed.where("fixed").groupBy("file", "seqid", "decl").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return covered_and_gaps(blocks, ["file", "seqid"], "start", "end").where("kind = 'period'").drop("kind")
+    if adjacent:
+        return covered_and_gaps(blocks, ["file", "seqid"], "start", "end").where("kind = 'period'").drop("kind")
+    from ..operators.windows import MAX_BEFORE
+
+    seen = ordered_values(blocks, ["file", "seqid"], ["start", "end"], {"before": (MAX_BEFORE, "end")})
+    return seen.select("file", "seqid", "start", "end", F.when(F.col("start") <= F.col("before"), "adjacent region").alias("error"))
 
 
 def fasta(lines: DataFrame) -> DataFrame:
-    """One character per row and position; ``>`` lines name the sequence."""
+    """One character per row and position; ``>`` lines name the sequence. A file of any size is
+    read in parts: the name and the length so far are carried over their borders."""
     d = lines.where(F.col("line").isNotNull() & (F.trim("line") != ""))
-    name = F.when(F.col("line").startswith(">"), F.struct(F.col("ord").alias("at"), F.regexp_extract("line", r"^>\s*(\S*)", 1).alias("seqid")))
-    d = d.withColumn("head", name).withColumn("head", _carry("head")).where(~F.col("line").startswith(">"))
-    text = F.rtrim("line")
-    run = Window.partitionBy("file", "head.at").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.select("file", "ord", F.col("head.seqid").alias("seqid"), text.alias("text"), F.coalesce(F.sum(F.length(text)).over(run), F.lit(0)).alias("before"))
-    d = d.select("file", "ord", "seqid", "before", F.posexplode(F.split("text", "")).alias("i", "val")).where("val <> ''")
+    is_head = F.col("line").startswith(">")
+    text = F.when(is_head, "").otherwise(F.rtrim("line"))
+    d = d.select("file", "ord", text.alias("text"), F.length(text).cast("long").alias("n"), F.when(is_head, F.regexp_extract("line", r"^>\s*(\S*)", 1)).alias("head"))
+    d = ordered_values(d, ["file"], ["ord"], {"seqid": (LAST, "head"), "total": (SUM, "n"), "begun": (SUM_AT, ("n", "head"))}).where(F.col("head").isNull())
+    d = d.select("file", "ord", "seqid", (F.col("total") - F.col("begun") - F.col("n")).alias("before"), F.posexplode(F.split("text", "")).alias("i", "val")).where("val <> ''")
     return d.select("file", "ord", "seqid", (F.col("before") + F.col("i")).cast("int").alias("start"), "val",
                     first_error((F.col("seqid").isNull(), "no sequence name")).alias("error"))
 
@@ -175,8 +180,8 @@ def microarray(lines: DataFrame) -> DataFrame:
     """Arrays of one score per experiment, NaN where an element has none. The header names the
     experiments (expNames) and must have expScale and expStep."""
     header = F.when(F.col("line").startswith("track"), F.regexp_replace("line", "'", '"'))
-    d = lines.where(F.col("line").isNotNull() & (F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("head", header)
-    d = d.withColumn("head", _carry("head")).where(~F.col("line").startswith("track")).withColumn("c", F.split(F.trim("line"), r"\s+"))
+    d = lines.where(F.col("line").isNotNull() & (F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("own", header)
+    d = ordered_values(d, ["file"], ["ord"], {"head": (LAST, "own")}).where(~F.col("line").startswith("track")).withColumn("c", F.split(F.trim("line"), r"\s+"))
     names = F.filter(F.split(F.regexp_extract("head", r'expNames="([^"]*)"', 1), ","), lambda x: x != "")
     numbers = lambda i, kind: F.transform(F.filter(F.split(_c(i), ","), lambda x: x != ""), lambda x: x.try_cast(kind))
     d = d.select("file", "ord", _c(0).alias("seqid"), _int(_c(1)).alias("start"), _int(_c(2)).alias("end"), strand_of(_c(5)).alias("strand"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.windows import LEAD, SUM, ordered_values
+
 
 def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count and sum per key and (sliding) window; rows later than the watermark are left out. Works
@@ -38,10 +40,7 @@ def append_coverage(elements: DataFrame, entity: list[str], path: str):
 
 
 def read_coverage(spark, entity: list[str], path: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    """Runs of constant depth from all micro-batches written so far."""
     events = spark.read.parquet(path).groupBy(*entity, "pos").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*entity).orderBy("pos")
-    runs = events.select(*entity, F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"),
-                         F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return runs.where(F.col("end").isNotNull())
+    runs = ordered_values(events, entity, ["pos"], {"end": (LEAD, "pos"), "depth": (SUM, "d")})
+    return runs.where(F.col("end").isNotNull()).select(*entity, F.col("pos").alias("start"), "end", "depth")

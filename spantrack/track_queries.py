@@ -195,10 +195,8 @@ def contained_semi(spark, d):
 SELECT el_id, coalesce("start" = pe OR ps = "end", false) AS touches, coalesce(ps < "end" AND pe > "start", false) AS overlaps,
  coalesce(ps <= "start" AND pe >= "end", false) AS contains, seqid || ':' || ("start" + 1) || '-' || "end" AS shown, "end" - "start" AS span FROM t""")
 def region_predicates(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sample_id", "seqid").orderBy("start", "end", "el_id", "loaded_at")
-    t = _steps(spark, d).withColumns({"ps": F.lag("start").over(w), "pe": F.lag("end").over(w)})
+    t = W.ordered_values(_steps(spark, d).select("sample_id", "seqid", "start", "end", "el_id", "loaded_at"), ["sample_id", "seqid"], ["start", "end", "el_id", "loaded_at"],
+                         {"ps": (W.LAG, "start"), "pe": (W.LAG, "end")})
     a, b, s, e = F.col("ps"), F.col("pe"), F.col("start"), F.col("end")
     no = F.lit(False)
     return t.select("el_id", F.coalesce(R.touches(a, b, s, e), no).alias("touches"), F.coalesce(R.overlaps(a, b, s, e), no).alias("overlaps"),
@@ -550,10 +548,8 @@ def _permuted(sampled):
         g = table(spark, d, "genome_seq").select("genome", "seqid", F.lit(0).alias("b0"), F.col("length").alias("b1"))
         s = s.join(g, ["genome", "seqid"]).where(F.col("end") <= F.col("b1"))
         p = RND.permute_segments(s, ["genome", "seqid"], "b0", "b1", 11, ["start"], sampled)
-        from pyspark.sql import Window
-
-        before = F.lag("end").over(Window.partitionBy("genome", "seqid").orderBy("start", "end"))
-        p = p.withColumn("clash", F.coalesce(before > F.col("start"), F.lit(False)) | (F.col("start") < 0) | (F.col("end") > F.col("b1")))
+        p = W.ordered_values(p.select("genome", "seqid", "start", "end", "b1"), ["genome", "seqid"], ["start", "end"], {"before": (W.MAX_BEFORE, "end")})
+        p = p.withColumn("clash", F.coalesce(F.col("before") > F.col("start"), F.lit(False)) | (F.col("start") < 0) | (F.col("end") > F.col("b1")))
         return p.groupBy("genome", "seqid").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("total"), F.count(F.when(F.col("clash"), 1)).alias("n_clashes"))
 
     return f
@@ -565,13 +561,25 @@ for _name, _sampled in (("permuted_segments_invariants", False), ("sampled_gaps_
     QUERIES[_name], SQL[_name] = _permuted(_sampled), _PERMUTED
 
 
-@query("""SELECT vec_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT vec_id FROM embeddings) GROUP BY vec_id""")
-def sampled_by_intensity_counts(spark, d):
+def _intensity(spark, d):
     e = table(spark, d, "embeddings")
     key, vec = e.columns[0], next(f.name for f in e.schema.fields if f.dataType.typeName() == "array")
-    dense = e.select(F.col(key).alias("vec_id"), F.posexplode(vec).alias("start", "val")).withColumn("val", F.exp("val"))
-    one = e.select(F.col(key).alias("vec_id")).distinct().withColumn("n", F.lit(1))
-    return RND.sample_by_intensity(dense, ["vec_id"], one, 3).groupBy("vec_id").agg(F.count("*").alias("n"))
+    dense = e.select(F.col(key).alias("vec_id"), F.posexplode(vec).alias("start", "val"))
+    # Intensities of 0 are never drawn.
+    return dense.withColumn("val", F.greatest(F.col("val"), F.lit(0.0)))
+
+
+_POSITIVE = "p AS (SELECT vec_id, count(*) FILTER (WHERE v > 0) AS k, count(*) AS dim FROM (SELECT {key} AS vec_id, unnest({vec}) AS v FROM embeddings) GROUP BY vec_id)"
+
+
+@query("WITH " + _POSITIVE.format(key="vec_id", vec="embedding") + " SELECT vec_id, least(5 + vec_id % 60, k) AS n, 0::BIGINT AS repeated, 0::BIGINT AS not_positive FROM p WHERE k > 0")
+def sampled_by_intensity_counts(spark, d):
+    """As many points as wanted (or as there are positions of any intensity), all of them different."""
+    dense = _intensity(spark, d)
+    wanted = dense.select("vec_id").distinct().withColumn("n", 5 + F.col("vec_id") % 60)
+    points = RND.sample_by_intensity(dense, ["vec_id"], wanted, 3)
+    held = points.join(dense, ["vec_id", "start"])
+    return held.groupBy("vec_id").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("start")).alias("repeated"), F.count(F.when(F.col("val") <= 0, 1)).alias("not_positive"))
 
 
 # Windows in time (an extension)

@@ -34,13 +34,13 @@ def header_for(df: DataFrame, dimension: str | None = None, **more) -> Header:
         h.values[name.replace("_", " ")] = value
     names = {"val": "value"}
     h.columns = ["seqid", *[names.get(c, c) for c in RESERVED if c in df.columns and c != "weights"], *fmt.extra]
-    h.given = [x for x in DEFAULTS if h[x] != DEFAULTS[x] or x in ("gtrack version", "track type")]
+    h.given = [x for x in DEFAULTS if h[x] != DEFAULTS[x] or x in ("version", "track type")]
     return h
 
 
 def header_lines(h: Header) -> list[str]:
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    return [*[f"##{x}: {text(h[x])}" for x in h.given], "###" + "\t".join(h.columns)]
+    return [*[f"##{Header.written(x, h.keyword)}: {text(h[x])}" for x in h.given], "###" + "\t".join(h.columns)]
 
 
 def _value(x: Column, dtype: T.DataType, delimiter: str = ",") -> Column:

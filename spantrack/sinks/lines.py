@@ -51,3 +51,38 @@ def save(lines: DataFrame, path: str, header: list[str] = (), single: bool = Fal
         lines = lines.unionByName(first.withColumn("k_kind", F.lit(-1)), allowMissingColumns=True)
     out = ordered(lines).select("line")
     (out.coalesce(1) if single else out).write.mode(mode).text(path)
+
+
+def archive(spark, folders: list[str], path: str, suffix: str) -> None:
+    """One zip file of the folders that ``save`` wrote, one member each. The parts are copied piece
+    by piece, so the driver holds no more than one piece."""
+    import zipfile
+
+    sc = spark.sparkContext
+    path_of = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path_of(path), True)
+
+    class Sink:
+        """What zipfile needs of a stream that can't be read or sought."""
+
+        def write(self, data):
+            out.write(bytearray(data))
+            return len(data)
+
+        def flush(self):
+            out.flush()
+
+    with zipfile.ZipFile(Sink(), "w", zipfile.ZIP_DEFLATED) as z:
+        for folder in folders:
+            name = f"{folder.rstrip('/').rpartition('/')[2]}.{suffix}"
+            parts = sorted(str(s.getPath()) for s in fs.listStatus(path_of(folder)) if s.getPath().getName().startswith("part-"))
+            with z.open(name, "w", force_zip64=True) as member:
+                for part in parts:
+                    stream = fs.open(path_of(part))
+                    try:
+                        while piece := stream.readNBytes(1 << 20):
+                            member.write(bytes(piece))
+                    finally:
+                        stream.close()
+    out.close()

@@ -8,23 +8,28 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import InvalidFormatError
+from ..operators.windows import LAG, LAST, SUM, SUM_AT, ordered_values
 from ..types import TRACK_TYPES
 from . import subtypes
 from .lines import first_error, sealed, strand_of, unquote
 
-# Fixed values of the format: its suffix, header variables with their defaults, and columns.
-SUFFIX = "gtrack"
+#: Suffix of such files, and the word before ``version`` and ``subtype`` in their headers, unless
+#: given otherwise.
+SUFFIX, KEYWORD = "headed", "format"
+#: Header lines that a file may have.
+MOST_HEADERS = 10_000
+# Fixed values of the format: header variables with their defaults, and columns.
 DEFAULTS: dict[str, str | bool | int] = {
-    "gtrack version": "1.0", "track type": "segments", "value type": "number", "value dimension": "scalar", "undirected edges": False,
+    "version": "1.0", "track type": "segments", "value type": "number", "value dimension": "scalar", "undirected edges": False,
     "edge weights": False, "edge weight type": "number", "edge weight dimension": "scalar", "uninterrupted data lines": False,
     "sorted elements": False, "no overlapping elements": False, "circular elements": False, "1-indexed": False, "end inclusive": False,
     "value column": "value", "edges column": "edges", "fixed length": 1, "fixed gap size": 0, "fixed-size data lines": False,
-    "data line size": 1, "gtrack subtype": "", "subtype version": "1.0", "subtype url": "", "subtype adherence": "free",
+    "data line size": 1, "subtype": "", "subtype version": "1.0", "subtype url": "", "subtype adherence": "free",
 }
-EXTENDED = ("value column", "edges column", "fixed length", "fixed gap size", "fixed-size data lines", "data line size", "gtrack subtype",
+EXTENDED = ("value column", "edges column", "fixed length", "fixed gap size", "fixed-size data lines", "data line size", "subtype",
             "subtype version", "subtype url", "subtype adherence")
 CORE, RESERVED = ("start", "end", "value", "edges"), ("genome", "seqid", "start", "end", "value", "strand", "id", "edges")
 VALUE_TYPES, DIMENSIONS = ("number", "binary", "character", "category"), ("scalar", "pair", "vector", "list")
@@ -39,6 +44,7 @@ class Header:
     given: list[str] = field(default_factory=list)
     columns: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    keyword: str = KEYWORD
 
     def __getitem__(self, name: str):
         return self.values[name]
@@ -47,6 +53,11 @@ class Header:
     def extended(self) -> bool:
         return any(h in EXTENDED for h in self.given)
 
+    @staticmethod
+    def written(name: str, keyword: str) -> str:
+        """Name of a variable as files have it."""
+        return f"{keyword} {name}" if name in ("version", "subtype") else name
+
     def core(self) -> set[str]:
         renamed = {str(self["value column"]): "value", str(self["edges column"]): "edges"}
         return {renamed.get(c, c) for c in self.columns} & set(CORE)
@@ -59,9 +70,10 @@ def core_of(track_type: str) -> set[str]:
     raise InvalidFormatError(f"no track type: {track_type}")
 
 
-def parse_header(lines: list[str]) -> Header:
+def parse_header(lines: list[str], keyword: str = KEYWORD) -> Header:
     """Header of the ``##`` and ``###`` lines, in file order, checked."""
-    h, stage = Header(), 0
+    h, stage = Header(keyword=keyword), 0
+    names = {Header.written(x, keyword): x for x in DEFAULTS}
     for line in lines:
         depth = 3 if line.startswith("###") else 2
         if depth < stage:
@@ -76,9 +88,10 @@ def parse_header(lines: list[str]) -> Header:
         name, value = name.strip().lower(), value.strip()
         if not colon:
             raise InvalidFormatError(f"no header line: {line}")
-        if name not in DEFAULTS:
+        if name not in names:
             h.warnings.append(f"unknown header {name}")
             continue
+        name = names[name]
         if name in h.given:
             raise InvalidFormatError(f"header {name} given twice")
         default = DEFAULTS[name]
@@ -91,7 +104,7 @@ def parse_header(lines: list[str]) -> Header:
                 raise InvalidFormatError(f"{name} must be a number")
             h.values[name] = int(value)
         else:
-            h.values[name] = value if name in ("gtrack subtype", "subtype url") else value.lower()
+            h.values[name] = value if name in ("subtype", "subtype url") else value.lower()
         h.given.append(name)
     if h["subtype url"]:
         found = subtypes.find(str(h["subtype url"]))
@@ -115,7 +128,7 @@ def check_header(h: Header) -> None:
         if not ok:
             raise InvalidFormatError(text)
 
-    need(h["gtrack version"] == "1.0", "the version must be 1.0")
+    need(h["version"] == "1.0", "the version must be 1.0")
     need(h["value type"] in VALUE_TYPES and h["edge weight type"] in VALUE_TYPES, "unknown value type")
     need(h["value dimension"] in DIMENSIONS and h["edge weight dimension"] in DIMENSIONS, "unknown dimension")
     need(h["subtype adherence"] in ADHERENCE, "unknown subtype adherence")
@@ -138,7 +151,7 @@ def check_header(h: Header) -> None:
 def apply_subtype(h: Header, subtype: Header) -> Header:
     """Checks the header against a subtype by its adherence and takes over what it leaves open."""
     mode = str(h["subtype adherence"]) if "subtype adherence" in h.given else str(subtype["subtype adherence"])
-    changed = [x for x in h.given if x in subtype.given and h[x] != subtype[x] and not x.startswith(("subtype", "gtrack subtype"))]
+    changed = [x for x in h.given if x in subtype.given and h[x] != subtype[x] and not x.startswith("subtype")]
     if mode in ("strict", "extensible", "reorderable") and changed or mode == "redefinable" and set(changed) - set(REDEFINABLE):
         raise InvalidFormatError(f"headers {changed} differ from the subtype")
     a, b = h.columns, subtype.columns
@@ -156,10 +169,25 @@ def apply_subtype(h: Header, subtype: Header) -> Header:
     return replace(h, values=values)
 
 
-def load_header(lines: DataFrame) -> Header:
-    """Reads the header lines of one file; they stand before all data."""
-    head = lines.where(F.col("line").rlike("^##[^#]|^###[^#]")).orderBy("ord").limit(1000).select("line").collect()
-    return parse_header([r["line"] for r in head])
+def load_header(lines: DataFrame, keyword: str = KEYWORD) -> Header:
+    """Reads the header lines of a file, whose number is bounded by MOST_HEADERS, and checks that
+    kinds of lines stand in order: variables, columns, then regions and data. Of several files with
+    one header each the headers must be the same."""
+    is_head = F.col("line").rlike("^##[^#]|^###[^#]")
+    heads = lines.where(is_head)
+    first = heads.groupBy("file").agg(F.count("*").alias("n"), F.max("ord").alias("last"))
+    if first.where(F.col("n") > MOST_HEADERS).limit(1).count():
+        raise InvalidFormatError(f"more than {MOST_HEADERS} header lines")
+    body = lines.where(F.col("line").isNotNull() & (F.trim("line") != "") & (~F.col("line").startswith("#") | F.col("line").startswith("####")))
+    began = body.groupBy("file").agg(F.min("ord").alias("first"))
+    late = first.join(began, "file").where(F.col("last") > F.col("first")).limit(1).collect()
+    if late:
+        raise InvalidFormatError(f"header lines after regions or data in {late[0]['file']}")
+    texts = heads.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]).alias("text"))
+    distinct = texts.groupBy("text").agg(F.min("file").alias("file")).limit(2).collect()
+    if len(distinct) > 1:
+        raise InvalidFormatError("files with different headers can't be read as one track")
+    return parse_header(list(distinct[0]["text"]) if distinct else [], keyword)
 
 
 def _cells(text: Column, kind: str) -> Column:
@@ -195,12 +223,17 @@ def _attribute(name: str) -> Column:
 
 
 def bounding_regions(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> DataFrame:
-    """(file, ord, genome, seqid, start, end) of the ``####`` lines. A missing start is 0, a missing
-    end the length of the sequence, where ``sequences`` knows it."""
+    """(file, ord, genome, seqid, start, end, error) of the ``####`` lines. A missing start is 0, a
+    missing end the length of the sequence, where ``sequences`` knows it. Lines of a genome only and
+    lines with a seqid are two kinds, which a file can't mix (see ``check_regions``)."""
     one, inclusive = int(bool(h["1-indexed"])), int(bool(h["end inclusive"]))
     r = lines.where(F.col("line").startswith("####")).select(
         "file", "ord", _attribute("genome").alias("genome"), _attribute("seqid").alias("seqid"),
-        (_attribute("start").try_cast("int") - one).alias("start"), (_attribute("end").try_cast("int") - one + inclusive).alias("end"))
+        (_attribute("start").try_cast("int") - one).alias("start"), (_attribute("end").try_cast("int") - one + inclusive).alias("end"),
+        F.when(F.coalesce(_attribute("genome"), _attribute("seqid")).isNull(), "region without genome and seqid").when(
+            _attribute("seqid").isNull() & F.coalesce(_attribute("start"), _attribute("end")).isNotNull(), "region bounds without seqid").when(
+            _attribute("start").isNotNull() & _attribute("start").try_cast("int").isNull() | _attribute("end").isNotNull() & _attribute("end").try_cast("int").isNull(),
+            "region bounds").alias("error"))
     r = r.withColumn("start", F.when(F.col("seqid").isNotNull(), F.coalesce("start", F.lit(0))))
     if sequences is not None:
         s = sequences.select(F.col("genome").alias("__g"), F.col("seqid").alias("__s"), F.col("length").alias("__l"))
@@ -209,28 +242,51 @@ def bounding_regions(lines: DataFrame, h: Header, sequences: DataFrame | None =
     return r
 
 
+def check_regions(regions: DataFrame) -> None:
+    """Raises for faulty region lines, for files that mix both kinds, and for regions of a sequence
+    that overlap, adjoin or have no length."""
+    bad = regions.where(F.col("error").isNotNull()).limit(1).collect()
+    if bad:
+        raise InvalidFormatError(f"{bad[0]['error']} in {bad[0]['file']}")
+    kinds = regions.groupBy("file").agg(F.min(F.col("seqid").isNull().cast("int")).alias("a"), F.max(F.col("seqid").isNull().cast("int")).alias("b"))
+    mixed = kinds.where("a <> b").limit(1).collect()
+    if mixed:
+        raise InvalidFormatError(f"region lines with and without a seqid in {mixed[0]['file']}")
+    from ..operators.validate import regions as faulty, require_none
+
+    require_none(faulty(regions.where(F.col("seqid").isNotNull() & F.col("end").isNotNull()).select("genome", "seqid", "start", "end")))
+
+
 def parse(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> DataFrame:
-    """Elements with ``error``; br_ord is the place of their bounding region, null without one."""
-    order = Window.partitionBy("file").orderBy("ord")
+    """Elements with ``error``; br_ord is the place of their bounding region, null without one. A
+    file of any size is read in parts: the region, the number of elements since it and the end
+    before are carried over their borders."""
     regions = bounding_regions(lines, h, sequences).select(
         F.col("file").alias("__f"), F.col("ord").alias("__o"), F.struct("genome", "seqid", "start", "end").alias("__br"))
     d = lines.where(F.col("line").isNotNull() & (F.trim("line") != "") & (~F.col("line").startswith("#") | F.col("line").startswith("####")))
     d = d.join(regions, (F.col("file") == F.col("__f")) & (F.col("ord") == F.col("__o")), "left").drop("__f", "__o")
-    d = d.withColumn("br_ord", F.when(F.col("__br").isNotNull(), F.col("ord")))
-    span = order.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({"br": F.last("__br", True).over(span), "br_ord": F.last("br_ord", True).over(span)}).where(~F.col("line").startswith("####"))
+    size = int(h["data line size"]) if h["fixed-size data lines"] else 0
+    here = F.col("__br").isNotNull()
+    one, inclusive = int(bool(h["1-indexed"])), int(bool(h["end inclusive"]))
+    d = d.withColumns({"__at": F.when(here, F.col("ord")), "__k": F.when(here, 0).otherwise(
+        F.floor(F.length("line") / size) if size else 1).cast("long")})
+    adds = {"br": (LAST, "__br"), "br_ord": (LAST, "__at"), "__total": (SUM, "__k"), "__base": (SUM_AT, ("__k", "__at"))}
+    if "end" in h.columns:
+        end_cell = F.get(F.split("line", "\t", -1), F.lit(h.columns.index("end"))).try_cast("int") - one + inclusive
+        d = d.withColumn("__end", F.when(~here, end_cell))
+        adds["__before"] = (LAG, "__end")
+    # The places before the line's own elements.
+    d = ordered_values(d, ["file"], ["ord"], adds).where(F.col("__br").isNull()).withColumn("__n", F.col("__total") - F.col("__base") - F.col("__k"))
     if h["fixed-size data lines"]:
-        n = int(h["data line size"])
         d = d.select(
-            "*", F.posexplode(F.regexp_extract_all("line", F.lit(f".{{{n}}}"), F.lit(0))).alias("part", "piece")).drop("line").withColumnRenamed("piece", "line")
+            "*", F.posexplode(F.regexp_extract_all("line", F.lit(f".{{{size}}}"), F.lit(0))).alias("part", "piece")).drop("line").withColumnRenamed("piece", "line")
     else:
         d = d.withColumn("part", F.lit(0))
     d = sealed(d.withColumn("c", F.split("line", "\t", -1)))
     cell = {name: F.get("c", F.lit(i)) for i, name in enumerate(h.columns)}
     renamed = {str(h["value column"]): "value", str(h["edges column"]): "edges"}
     cell = {renamed.get(name, name): x for name, x in cell.items()}
-    one, inclusive = int(bool(h["1-indexed"])), int(bool(h["end inclusive"]))
-    nth = F.row_number().over(Window.partitionBy("file", "br_ord").orderBy("ord", "part")) - 1
+    nth = F.col("__n") + F.col("part")
     track = core_of(str(h["track type"]))
     columns, rules = {}, [(F.size("c") != len(h.columns), "column count")]
     columns["genome"] = F.coalesce(cell["genome"], F.col("br.genome")) if "genome" in cell else F.col("br.genome")
@@ -243,7 +299,7 @@ def parse(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> Da
     if "start" in cell:
         start = cell["start"].try_cast("int") - one
     elif "start" in track:
-        start = br_start + nth * (length + gap)
+        start = (br_start + nth * (length + gap)).cast("int")
     elif "end" in cell:
         start = None  # filled from the end before
     else:
@@ -253,8 +309,7 @@ def parse(lines: DataFrame, h: Header, sequences: DataFrame | None = None) -> Da
     elif start is not None:
         end = F.least(start + length, F.col("br.end")) if length > 1 else start + 1
     if start is None:
-        before = F.lag(end).over(Window.partitionBy("file", "br_ord").orderBy("ord", "part"))
-        start = F.coalesce(before, br_start)
+        start = F.coalesce("__before", br_start)
     columns["start"], columns["end"] = start.cast("int"), end.cast("int")
     rules.append((F.col("start") < 0, "start"))
     if h["circular elements"]:

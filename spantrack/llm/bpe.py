@@ -7,6 +7,10 @@ walks through its keys. The most frequent words of the corpus, counted over all
 once and go into a second literal map of bounded size; all other words are folded where they stand,
 so no word occurrence is ever shuffled.
 
+The fold takes time with the square of its length, so words above LONG bytes are cut first wherever
+no token can lie across: where the two bytes are no token and neither of the two triples of bytes
+around them occurs in any token. Merges never cross such a place, so the ids stay the same.
+
 Bytes are held as strings of the code points 0 to 255, one per byte, since literal map keys are
 strings.
 """
@@ -24,6 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 HOT_WORDS = 30_000
 RANK_BUCKETS, WORD_BUCKETS = 1 << 16, 1 << 15
 NO_RANK = 2**31 - 1
+#: Bytes of a word above which it is cut before it is folded; buckets of the pairs and triples.
+LONG, GRAM_BUCKETS = 48, 1 << 14
 
 # The published word pattern, with white space as Unicode defines it.
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -68,10 +74,13 @@ class Bpe:
     def __init__(self, path: str | None = None):
         self.ranks = read_ranks(path or vocabulary_path())
         self._table = _bucketed(((p.decode("latin-1"), r) for p, r in self.ranks.items()), RANK_BUCKETS, "int")
+        grams = {p for p in self.ranks if len(p) == 2} | {p[i : i + 3] for p in self.ranks for i in range(len(p) - 2)}
+        self._grams = _bucketed(((g.decode("latin-1"), 1) for g in sorted(grams)), GRAM_BUCKETS, "int")
 
-    def fold(self, word: Column, table: Column) -> Column:
-        """Ids of one word by folding its merges with the ranks of ``table``, a lambda variable
-        (each mention of the literal itself would be a copy of it in the plan)."""
+    def fold(self, word: Column, table: Column, grams: Column) -> Column:
+        """Ids of one word by folding its merges with the ranks of ``table`` and the pairs and
+        triples of ``grams``, lambda variables (each mention of the literals themselves would be a
+        copy of them in the plan)."""
 
         def rank(piece: Column) -> Column:
             return _lookup(table, RANK_BUCKETS, piece)
@@ -111,8 +120,32 @@ class Bpe:
             return F.when(size < 2, F.transform(pieces, rank)).otherwise(
                 F.transform(F.aggregate(F.sequence(F.lit(2), size), start, step)["p"], rank))
 
+        def parts(pieces: Column) -> Column:
+            """Stretches that no token goes beyond."""
+            n = F.size(pieces)
+
+            def gram(first: Column, size: int) -> Column:
+                return _lookup(grams, GRAM_BUCKETS, F.concat(*[F.get(pieces, first + i) for i in range(size)])).isNotNull()
+
+            def apart(i: Column) -> Column:  # between the places i - 1 and i
+                return ~(gram(i - 1, 2) | ((i > 1) & gram(i - 2, 3)) | ((i < n - 1) & gram(i - 1, 3)))
+
+            def cut(ends: Column) -> Column:
+                def one(end: Column, k: Column) -> Column:
+                    return _let(F.when(k > 0, F.get(ends, k - 1)).otherwise(0), lambda begin: F.slice(pieces, begin + 1, end - begin))
+
+                return F.transform(ends, one)
+
+            return _let(F.array_append(F.filter(F.sequence(F.lit(1), n - 1), apart), n), cut)
+
+        def ids(pieces: Column) -> Column:
+            return F.when(F.size(pieces) > LONG, F.flatten(F.transform(parts(pieces), merges))).otherwise(merges(pieces))
+
         return _let(raw, lambda x: _let(rank(x), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(
-            _let(F.split(x, ""), merges))))
+            _let(F.split(x, ""), ids))))
+
+    def _with(self, body) -> Column:
+        return _let(self._table, lambda table: _let(self._grams, lambda grams: body(table, grams)))
 
     @staticmethod
     def words(text: Column) -> Column:
@@ -123,24 +156,25 @@ class Bpe:
         words = df.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
         top = words.orderBy(F.desc("n"), "w").limit(count).select("w")
         spread = top.repartition(df.sparkSession.sparkContext.defaultParallelism, "w")
-        return {r["w"]: r["ids"] for r in spread.select("w", _let(self._table, lambda t: self.fold(F.col("w"), t)).alias("ids")).collect()}
+        return {r["w"]: r["ids"] for r in spread.select("w", self._with(lambda t, g: self.fold(F.col("w"), t, g)).alias("ids")).collect()}
 
     def encode(self, df: DataFrame, text: str, ids: str = "ids", hot: int = HOT_WORDS) -> DataFrame:
         """``df`` with the ids of ``text``. Empty and null texts have the empty list of ids."""
         known = self.hot_words(df, text, hot)
         table = _bucketed(known.items(), WORD_BUCKETS, "array<int>")
 
-        def coded(ranks: Column) -> Column:
+        def coded(ranks: Column, grams: Column) -> Column:
             return _let(table, lambda words: F.flatten(F.transform(self.words(F.col(text)), lambda w: F.coalesce(
-                _lookup(words, WORD_BUCKETS, w), self.fold(w, ranks)))))
+                _lookup(words, WORD_BUCKETS, w), self.fold(w, ranks, grams)))))
 
-        return df.withColumn(ids, F.coalesce(_let(self._table, coded), F.array().cast("array<int>")))
+        return df.withColumn(ids, F.coalesce(self._with(coded), F.array().cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
-        """Text of a list of ids: its binary pieces in a row; null for null."""
+        """Text of a list of ids: its binary pieces in a row; null for null. Bytes that are no
+        whole character (ids cut off amid one) become U+FFFD, ids that are none are left out."""
         pieces: list[str] = [""] * (max(self.ranks.values()) + 1)
         for p, r in self.ranks.items():
             pieces[r] = p.decode("latin-1")
         table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
         joined = F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), "")
-        return F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")
+        return F.make_valid_utf8(F.encode(joined, "ISO-8859-1").cast("string"))

@@ -12,7 +12,7 @@ then go, in falling size, each into the container with the least room that is en
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,18 +68,25 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
                 insort(open_gaps, room)
             gaps[room].append((first, end))
 
-    large = sorted((s for s in left if 3 * s > capacity), reverse=True)
-    for i, x in enumerate(large):
-        for y in large[i:]:
-            if not left[x]:
-                break
-            pairs = min(left[x], left[y]) if y != x else left[x] // 2
-            if y + x <= capacity and pairs:
-                give(x, 2 * pairs if y == x else pairs, bins, 2 if y == x else 1)
-                if y != x:
-                    give(y, pairs, bins, 1)
-                free(capacity - x - y, bins, bins + pairs)
-                bins += pairs
+    large = sorted(s for s in left if 3 * s > capacity)  # sizes with items left
+    while large:
+        x = large.pop()
+        at = bisect_right(large, capacity - x) - 1  # the largest other size that fits beside x
+        if 2 * x <= capacity and left[x] > 1:
+            pairs = left[x] // 2
+            give(x, 2 * pairs, bins, 2)
+            free(capacity - 2 * x, bins, bins + pairs)
+            bins += pairs
+        while left[x] and at >= 0:
+            y = large[at]
+            pairs = min(left[x], left[y])
+            give(x, pairs, bins, 1)
+            give(y, pairs, bins, 1)
+            free(capacity - x - y, bins, bins + pairs)
+            bins += pairs
+            if not left[y]:
+                large.pop(at)
+                at -= 1
         if left[x]:
             n = left[x]
             give(x, n, bins, 1)
@@ -87,7 +94,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             bins += n
     for s in sorted((s for s in left if 3 * s <= capacity and left[s]), reverse=True):
         while left[s]:
-            at = int(np.searchsorted(open_gaps, s))
+            at = bisect_left(open_gaps, s)
             if at == len(open_gaps):
                 per, n = capacity // s, left[s]
                 whole = n // per

@@ -28,6 +28,16 @@ def test_plan(capacity, pairs):
     assert len(fill) <= max(1.7 * least + 1, sum(n for s, n in histogram.items() if 2 * s > capacity) * 1.5 + 1)
 
 
+def test_plan_of_a_long_context_is_quick():
+    import time
+
+    rng = random.Random(4)
+    histogram = {s: rng.randrange(1, 50) for s in range(1, 65_537)}
+    began = time.time()
+    runs = plan(histogram, 65_536)
+    assert time.time() - began < 20 and sum(b - a for _, a, b, _, _ in runs) == sum(histogram.values())
+
+
 @pytest.mark.parametrize("capacity", [1, 10, 1000])
 def test_frame(spark, capacity):
     rng = random.Random(2)

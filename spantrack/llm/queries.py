@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..session import materialise, table
 from .bpe import Bpe
 from .packing import DEFAULT_CAPACITY, fill_containers, token_counts
-from .quantiles import LOW, merge_sketches, percentiles, sketches
+from .quantiles import HIGH, LOW, merge_sketches, percentiles, sketches
 from .runs import collapse_runs, latest_version
 from .sentences import block_ends, split_sentences
 

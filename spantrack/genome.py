@@ -44,8 +44,13 @@ class Genome:
             raise ArgumentValueError(f"{seqid} is not in {self.name}")
         return self.lengths[seqid]
 
-    def regions(self) -> list[Region]:
-        return [Region(self.name, s, 0, n) for s, n in self.lengths.items()]
+    def standard(self) -> list[str]:
+        """Names of the sequences without the extra ones, which have a ``_`` in their names."""
+        return [s for s in self.lengths if "_" not in s]
+
+    def regions(self, include_extra: bool = True) -> list[Region]:
+        names = self.lengths if include_extra else self.standard()
+        return [Region(self.name, s, 0, self.lengths[s]) for s in names]
 
 
 def parse_size(spec: str) -> int:
@@ -65,17 +70,18 @@ def _bound(text: str, is_start: bool) -> int:
     return int(m[1]) * unit + (1 if is_start and unit > 1 else 0)
 
 
-def parse_regions(spec: str, genome: Genome) -> list[Region]:
+def parse_regions(spec: str, genome: Genome, include_extra: bool = True) -> list[Region]:
     """``*``, ``chr1``, ``chr1:10k-2m``, ``genome:chr1:1-100`` and comma lists of them. Positions
-    are 1-based and inclusive; the result is 0-based and half-open."""
+    are 1-based and inclusive; the result is 0-based and half-open. ``*`` leaves the extra sequences
+    out unless ``include_extra``."""
     if spec.strip() == "*":
-        return genome.regions()
+        return genome.regions(include_extra)
     out = []
     for part in (p.strip() for p in re.split(r",(?![0-9]{3}\b)", spec)):
         part = part.removeprefix(genome.name + ":")
         seqid, _, span = part.partition(":")
         if seqid == "*" and not span:
-            out += genome.regions()
+            out += genome.regions(include_extra)
             continue
         length = genome.length(seqid)
         if not span or span == "*":

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..errors import NotSupportedError
+from ..errors import IncompatibleTracksError, NotSupportedError
 
 MOST_MATRIX_NODES = 5_000
 
@@ -45,7 +45,7 @@ def neighbours(edges: DataFrame, nodes: DataFrame, undirected: bool = False) ->
     return out.join(ids, out["id"] == F.col("__id"), "left_semi").join(ids, out["neighbour"] == F.col("__id"), "left_semi")
 
 
-def weight_matrix(edges: DataFrame, complete: bool = False, rows_as_from: bool = True, missing: float = float("nan")) -> DataFrame:
+def weight_matrix(edges: DataFrame, complete: bool = False, rows_as_from: bool = True, missing: float = 0.0) -> DataFrame:
     """Long form (row_id, col_id, weight) of the matrix; of repeated edges the largest weight.
 
     ``complete`` lists the absent cells too, one row of cells per node: for graphs whose node
@@ -66,14 +66,18 @@ def binary_matrix(edges: DataFrame, rows_as_from: bool = True) -> DataFrame:
     return weight_matrix(edges, rows_as_from=rows_as_from).select("row_id", "col_id", F.lit(1).alias("weight"))
 
 
-def merge_graphs(*graphs: DataFrame) -> DataFrame:
-    """Union of node sets; of nodes with one id the one of the last graph stays."""
+def merge_graphs(*graphs: DataFrame, undirected: tuple[bool, ...] = ()) -> DataFrame:
+    """Union of node sets; of nodes with one id the one of the last graph stays. ``undirected`` may
+    say of each graph whether it is: they must agree."""
+    if len(set(undirected)) > 1:
+        raise IncompatibleTracksError("directed and undirected graphs can't be merged")
     tagged = None
     for i, g in enumerate(graphs):
         g = g.withColumn("__g", F.lit(i))
         tagged = g if tagged is None else tagged.unionByName(g, allowMissingColumns=True)
-    first = Window.partitionBy("id").orderBy(F.desc("__g"))
-    return tagged.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__g")
+    # With partial aggregation: no id gathers its nodes in one task. Null ids are one node.
+    columns = [c for c in tagged.columns if c != "__g"]
+    return tagged.groupBy(F.col("id").alias("__id")).agg(F.max_by(F.struct(*columns), "__g").alias("r")).select("r.*")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -66,8 +66,7 @@ def multi_file(*tracks: DataFrame) -> DataFrame:
 
 def cumulative_offsets(regions: DataFrame) -> DataFrame:
     """Bounding regions with the element range [start_idx, end_idx) of each, per sequence order."""
-    from pyspark.sql import Window
+    from .windows import SUM, ordered_values
 
-    w = Window.partitionBy("genome").orderBy("seqid", "start")
-    total = F.sum("el_count").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return regions.withColumns({"start_idx": total - F.col("el_count"), "end_idx": total})
+    out = ordered_values(regions, ["genome"], ["seqid", "start"], {"end_idx": (SUM, "el_count")})
+    return out.withColumn("start_idx", F.col("end_idx") - F.col("el_count")).select(*regions.columns, "start_idx", "end_idx")

@@ -50,6 +50,26 @@ def user_bins(spark, region_spec: str, bin_spec: str, sequences: DataFrame, geno
     return auto_bin(regions_frame(spark, parse_regions(region_spec, g)), None if bin_spec == "*" else parse_size(bin_spec))
 
 
+def bin_source(spark, source: str, bins: str, sequences: DataFrame, genome: str, catalog=None) -> DataFrame:
+    """Regions by what ``source`` is: a specification (``chr1:1-10m``, ``*``), a file, whose
+    elements become the regions, or ``track:<name>`` of the catalogue; tiled by ``bins``."""
+    if source.startswith("track:"):
+        if catalog is None:
+            raise InvalidFormatError("a stored track needs the catalogue")
+        regions = envelope(catalog.track(genome, source.removeprefix("track:")).withColumn("genome", F.lit(genome)), sequences)
+    elif "/" in source or source.lower().removesuffix(".gz").rpartition(".")[2] in ("bed", "gff", "gff3", "wig", "bedgraph"):
+        from ..sources.formats import parser_for
+        from ..sources.lines import keep_valid, read_lines
+
+        parser = parser_for(source)
+        if parser is None:
+            raise InvalidFormatError(f"no reader for {source}")
+        regions = envelope(keep_valid(parser(read_lines(spark, source)), "FAILFAST").withColumn("genome", F.lit(genome)), sequences)
+    else:
+        return user_bins(spark, source, bins, sequences, genome)
+    return auto_bin(regions, None if bins == "*" else parse_size(bins))
+
+
 def global_bins(sequences: DataFrame, genome: str) -> DataFrame:
     return sequences.where(F.col("genome") == genome).select("genome", "seqid", F.lit(0).alias("start"), F.col("length").alias("end"))
 

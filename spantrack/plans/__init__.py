@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import IncompatibleTracksError
 from ..operators.slicing import crop, slice_region, to_points
@@ -40,6 +40,35 @@ def track_view(track: DataFrame, seqid: str, start: int, end: int, req: TrackFor
     return crop(inside, start, end)
 
 
+def scan_views(views: list[DataFrame]) -> DataFrame:
+    """Several views as one relation; columns that a view lacks are null."""
+    out = views[0]
+    for v in views[1:]:
+        out = out.unionByName(v, allowMissingColumns=True)
+    return out
+
+
+def empty_view(spark, fmt: TrackFormat, value: T.DataType | None = None) -> DataFrame:
+    """A view without rows with the columns of a format, to plan with."""
+    kinds = [("seqid", T.StringType())]
+    kinds += [("start", T.IntegerType())] if not fmt.dense else []
+    kinds += [("end", T.IntegerType())] if fmt.interval else []
+    kinds += [("val", value or T.DoubleType())] if fmt.valued else []
+    kinds += [("strand", T.ByteType())] if fmt.has_strand else []
+    kinds += [("id", T.StringType())] if fmt.has_id or fmt.linked else []
+    kinds += [("edges", T.ArrayType(T.StringType()))] if fmt.linked else []
+    kinds += [("weights", T.ArrayType(T.DoubleType()))] if fmt.weighted else []
+    kinds += [(c, T.StringType()) for c in fmt.extra]
+    return spark.createDataFrame([], T.StructType([T.StructField(c, k) for c, k in kinds]))
+
+
+def by_sequence(df: DataFrame):
+    """(seqid, elements) one sequence after the other; the names, a dimension, are read first and
+    each part is a plan of its own."""
+    for r in df.select("seqid").distinct().orderBy("seqid").toLocalIterator():
+        yield r["seqid"], df.where(F.col("seqid").eqNullSafe(F.lit(r["seqid"])))
+
+
 def then(*steps):
     """Composition of conversions."""
     def run(df: DataFrame) -> DataFrame:

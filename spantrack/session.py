@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +45,3 @@ def range_sorted(df: DataFrame, *keys: str) -> DataFrame:
     ``spark.sql.shuffle.partitions`` and adaptive coalescing, which only joins neighbours.
     """
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)

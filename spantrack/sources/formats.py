@@ -237,6 +237,16 @@ BY_SUFFIX = (
 )
 
 
+def suffixes(use: str = "all") -> list[str]:
+    """File suffixes that can be read: all, those for ``binning`` (elements with positions) or
+    those for a ``function`` (a value at every position)."""
+    dense = ("wig", "bedgraph", "targetcontrol.bedgraph", "fasta", "fas", "fa")
+    known = [x for x, _ in BY_SUFFIX]
+    if use == "all":
+        return known
+    return [x for x in known if (x in dense) == (use == "function") or use == "binning" and x in ("wig", "bedgraph", "targetcontrol.bedgraph")]
+
+
 def parser_for(name: str):
     """Parser by the suffix of a file name (a .gz at its end aside), or None."""
     plain = name.lower().removesuffix(".gz")

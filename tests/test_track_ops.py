@@ -88,6 +88,65 @@ def test_overlap_join_has_no_nested_loop(spark):
     assert overlap.contained_in(a, b, ["seqid"], 16).count() == sum(any(y["start"] <= x["start"] and x["end"] <= y["end"] for y in b.collect()) for x in a.collect())
 
 
+def test_overlap_join_of_very_different_lengths(spark):
+    import random
+
+    rng = random.Random(8)
+
+    def some(n):
+        return [(rng.choice("cd"), s, s + rng.choice([0, 1, 15, 16, 17, 300, 4_096, 70_000, 900_000])) for s in (rng.randrange(1_000_000) for _ in range(n))] + [("c", None, 5), ("d", 5, None)]
+
+    one, two = some(300), some(200)
+    a, b = (spark.createDataFrame(x, "seqid string, start int, end int") for x in (one, two))
+    want = sorted((x, y) for x in one for y in two if None not in x and None not in y and x[0] == y[0] and x[1] < y[2] and x[2] > y[1])
+    got = overlap.overlap_join(a, b, ["seqid"], 16).collect()
+    assert sorted(((r["seqid"], r["start"], r["end"]), (r["seqid"], r["start_r"], r["end_r"])) for r in got) == want
+    held = overlap.contained_in(a, b, ["seqid"], 16).count()
+    assert held == sum(None not in x and any(None not in y and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2] for y in two) for x in one)
+    copies = a.where("end is not null and start is not null").agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    assert copies == 900_000
+
+
+def test_counts_of_contained_elements(spark):
+    br = spark.createDataFrame([("c", 0, 10), ("c", 20, 30)], "seqid string, start int, end int")
+    inside = spark.createDataFrame([("c", 1, 5), ("c", 20, 30), ("c", 9, 10)], "seqid string, start int, end int")
+    assert sorted((r["start"], r["n"]) for r in overlap.count_contained(inside, br, ["seqid"]).collect()) == [(0, 2), (20, 1)]
+    with pytest.raises(Exception, match="outside of all regions"):
+        overlap.count_contained(inside.unionByName(spark.createDataFrame([("c", 8, 12)], inside.schema)), br, ["seqid"]).collect()
+
+
+def test_elements_placed_by_intensity(spark):
+    dense = spark.range(100).selectExpr("'c' as seqid", "cast(id as int) as start", "case when id % 2 = 0 then 0D else 1D + id end as val")
+    t = spark.createDataFrame([("c", i, i + 3, "n%d" % i) for i in range(20)], "seqid string, start int, end int, name string")
+    got = randomise.place_by_intensity(t, dense, ["seqid"], 5, ["name"]).collect()
+    assert len({r["start"] for r in got}) == 20 and all(r["start"] % 2 and r["end"] - r["start"] == 3 for r in got) and {r["name"] for r in got} == {"n%d" % i for i in range(20)}
+
+
+def test_views_together(spark):
+    from spantrack.plans import by_sequence, empty_view, scan_views
+
+    a = spark.createDataFrame([("c", 1)], "seqid string, start int")
+    b = spark.createDataFrame([("d", 2, 1.5)], "seqid string, start int, val double")
+    assert scan_views([a, b]).count() == 2 and [(s, d.count()) for s, d in by_sequence(scan_views([a, b]))] == [("c", 1), ("d", 1)]
+    fmt = TrackFormat.of_schema(b.schema)
+    assert empty_view(spark, fmt).columns == ["seqid", "start", "val"] and empty_view(spark, fmt).count() == 0
+
+
+def test_graphs_must_agree(spark):
+    g = spark.createDataFrame([("a",)], "id string")
+    with pytest.raises(IncompatibleTracksError):
+        graph.merge_graphs(g, g, undirected=(True, False))
+
+
+def test_bin_sources(spark, tmp_path):
+    from spantrack.operators.user_bins import bin_source
+
+    sequences = spark.createDataFrame([("g", "chr1", 1000, 1)], "genome string, seqid string, length int, ord int")
+    (tmp_path / "r.bed").write_text("chr1\t0\t20\nchr1\t10\t30\n")
+    assert [(r["start"], r["end"]) for r in bin_source(spark, str(tmp_path / "r.bed"), "20", sequences, "g").orderBy("start").collect()] == [(0, 20), (20, 30)]
+    assert bin_source(spark, "chr1:1-100", "50", sequences, "g").count() == 2
+
+
 def test_views(spark):
     t = spark.createDataFrame([("c", 5, 20, 0), ("c", 15, 40, 1), ("c", 50, 60, -1)], "seqid string, start int, end int, strand byte")
     got = track_view(t, "c", 10, 30).orderBy("start").collect()

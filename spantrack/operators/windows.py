@@ -31,6 +31,10 @@ def ordered_values(df: DataFrame, entity: list[str], order: list[str], adds: dic
     Sums and max before are for whole or (sum) floating numbers; nulls add nothing. Rows tied in
     ``order`` come in any order. A null entity is an entity of its own.
     """
+    if not entity:
+        # All rows are one entity.
+        whole = ordered_values(df.withColumn("__all", F.lit(0)), ["__all"], order, adds)
+        return whole.drop("__all")
     names = df.columns
     ordered = materialise(range_sorted(df, *entity, *order))
     numbered = ordered.withColumn("__pid", F.spark_partition_id())

@@ -206,8 +206,8 @@ def constant_function(spark, seqid: str = "chr21", value: float = 0.0) -> DataFr
 def function_slice(values: DataFrame, array: str, seqid: str, start: Column | int = 0) -> DataFrame:
     """A dense array as one row per position."""
     first = F.lit(start) if isinstance(start, int) else start
-    return values.select(F.col(seqid).alias("seqid"), F.posexplode(array).alias("i", "val")).select(
-        "seqid", (first + F.col("i")).cast("int").alias("start"), "val")
+    return values.select(F.col(seqid).alias("seqid"), first.alias("first"), F.posexplode(array).alias("i", "val")).select(
+        "seqid", (F.col("first") + F.col("i")).cast("int").alias("start"), "val")
 
 
 def tabular(lines: DataFrame, columns: dict[str, str], separator: str = "\t") -> DataFrame:

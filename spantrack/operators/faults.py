@@ -33,20 +33,16 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
     quoting, column_count, seqid, start, end, value.
 
     Null and blank lines and those that start with ``#`` or ``track `` are not data and give no
-    row. Exact repeats of a line give one row. A column that col_spec lacks (or a null col_spec)
+    row. Repeats of a line are parsed like any other (see ``split_valid``). A column that col_spec lacks (or a null col_spec)
     reads as an empty cell, hence faulty; a null genome has no sequences. Lines of any length are
     parsed whole; cells beyond the four named ones may hold anything.
     """
     line = F.regexp_replace(F.col("raw_line"), r"\r\z", "")
-    data = (
-        lines.select("line_id", "genome", "col_spec", line.alias("line"))
-        .where(
-            F.col("line").isNotNull()
-            & F.col("line").rlike(r"[^\s]")
-            & ~F.col("line").startswith("#")
-            & ~F.col("line").startswith("track ")
-        )
-        .distinct()
+    data = lines.select("line_id", "genome", "col_spec", line.alias("line")).where(
+        F.col("line").isNotNull()
+        & F.col("line").rlike(r"[^\s]")
+        & ~F.col("line").startswith("#")
+        & ~F.col("line").startswith("track ")
     )
     has_quote = F.col("line").contains('"')
     spec = F.split(F.coalesce("col_spec", F.lit("")), ",", -1)
@@ -103,7 +99,10 @@ def parse_track_lines(lines: DataFrame, sequences: DataFrame) -> DataFrame:
 
 
 def split_valid(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid typed rows, faulty rows with ``reason`` = the first error and all ``errors``)."""
+    """(valid typed rows, faulty rows with ``reason`` = the first error and all ``errors``), each
+    row once: only these narrow rows are shuffled, never the texts."""
     valid = parsed.where(F.size("errors") == 0).drop("errors")
     faulty = parsed.where(F.size("errors") > 0).select("line_id", F.get("errors", F.lit(0)).alias("reason"), "errors")
-    return valid, faulty
+    # As text, since comparison as numbers would turn -0.0 into 0.0.
+    valid = valid.withColumn("value", F.col("value").cast("string")).distinct().withColumn("value", F.col("value").cast("double"))
+    return valid, faulty.distinct()

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
@@ -71,14 +72,14 @@ def orphan_references(references: DataFrame, nodes: DataFrame, key: str, since:
             if index is None and not keys:
                 before = carried.get(batch.column("pid")[0].as_py(), final)
                 if before:
-                    keys.append(np.array([before[0]], dtype=object))
+                    keys.append(pa.array([before[0]], pa.string()))
                     since_.append(np.array([before[1]]))
                     until_.append(np.array([before[2]]))
             tag = batch.column("tag").to_numpy(zero_copy_only=False)
             n = int(np.count_nonzero(tag == 0))
             if n:
                 own = batch.slice(0, n)
-                keys.append(own.column("key").to_numpy(zero_copy_only=False))
+                keys.append(own.column("key"))
                 since_.append(own.column("at").to_numpy(zero_copy_only=False))
                 until_.append(own.column("until").to_numpy(zero_copy_only=False).astype(np.int64))
             if n == batch.num_rows:
@@ -100,16 +101,17 @@ def orphan_references(references: DataFrame, nodes: DataFrame, key: str, since:
 
 
 class _Index:
-    """Sorted arrays of the parents of one range."""
+    """Sorted arrays of the parents of one range: keys by code, and (code, time) as one number each,
+    which references are searched for."""
 
     def __init__(self, keys, since, until):
         self.empty = not keys
         if self.empty:
             return
-        key, since, until = np.concatenate(keys), np.concatenate(since), np.concatenate(until)
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = key[1:] != key[:-1]
-        self.keys, self.until = key[fresh], until
+        key, since, until = pa.concat_arrays(keys), np.concatenate(since), np.concatenate(until)
+        fresh = changes([key], None)
+        # The code of a key is its place among the sorted ones.
+        self.keys, self.until = key.take(pa.array(np.flatnonzero(fresh))), until
         self.times = np.unique(since)
         self.width = len(self.times) + 1
         self.code = (np.cumsum(fresh) - 1) * self.width + np.searchsorted(self.times, since) + 1
@@ -118,9 +120,10 @@ class _Index:
         if self.empty:
             return np.zeros(len(at), dtype=bool)
         fresh = changes([key], None)
-        distinct = key.take(pa.array(np.flatnonzero(fresh))).to_numpy(zero_copy_only=False)
-        place = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        known = self.keys[place] == distinct
+        distinct = key.take(pa.array(np.flatnonzero(fresh)))
+        coded = pc.index_in(distinct, value_set=self.keys)
+        known = coded.is_valid().to_numpy(zero_copy_only=False)
+        place = coded.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(fresh) - 1
         wanted = place[group] * self.width + np.searchsorted(self.times, at, side="right")
         found = np.searchsorted(self.code, wanted, side="right") - 1

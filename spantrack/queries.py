@@ -11,7 +11,7 @@ from .operators.heavy_keys import heavy_keys, per_key_summary
 from .operators.intervals import covered_and_gaps
 from .operators.orphans import orphan_references
 from .operators.packed import unpack_lists
-from .session import table
+from .session import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,7 +142,8 @@ def _references(spark, d):
     links = table(spark, d, "link_rows").select(
         F.lit("link_rows").alias("ref_table"), F.col("link_id").alias("row_id"),
         F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("ref_id"), F.col("loaded_at").alias("ref_time"))
-    return named.unionByName(links)
+    # The sampling of range borders and the pass itself both read the references.
+    return materialise(named).unionByName(links)
 
 
 def _orphans(spark, d):

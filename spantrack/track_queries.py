@@ -143,11 +143,11 @@ def inter_element_gaps(spark, d):
     return g.select("sample_id", "seqid", "el_id", "gap")
 
 
-@query("""WITH b AS (SELECT seqid, genome, unnest(range(0, length, 250000)) AS s FROM genome_seq WHERE length >= 1000000),
+@query("""WITH b AS (SELECT seqid, genome, unnest(range(0, length, 250000)) AS s FROM genome_seq),
 g AS (SELECT *, s - lag(s + 250000) OVER (PARTITION BY genome, seqid ORDER BY s) AS gap FROM b)
 SELECT 250000 AS fixed_length, CAST(CASE WHEN min(gap) = max(gap) THEN min(gap) END AS INT) AS fixed_gap FROM g""")
 def fixed_length_detect(spark, d):
-    g = table(spark, d, "genome_seq").where("length >= 1000000").select("genome", "seqid", F.lit(0).alias("start"), F.col("length").alias("end"))
+    g = table(spark, d, "genome_seq").select("genome", "seqid", F.lit(0).alias("start"), F.col("length").alias("end"))
     tiles = G.auto_bin(g, 250_000).withColumn("end", F.col("start") + 250_000)
     return S.fixed_length_and_gap(tiles, ["genome", "seqid"])
 
@@ -213,13 +213,14 @@ def exclude(spark, d):
     return t.select("el_id", "loaded_at", F.explode(pieces).alias("p")).select("el_id", "loaded_at", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
 
 
-@query("""SELECT s.seqid, s.genome, 900000 AS "start", CAST(least(1000000 + 7, length) AS INT) AS "end", CAST(greatest(900000 - 1000000, 0) AS INT) AS "start_back"
-FROM genome_seq s WHERE length >= 1000000""")
+@query(f"""SELECT el_id, loaded_at, t."start" AS "start", CAST(least(t."end" + 100000, length) AS INT) AS "end", CAST(greatest(t."start" - 1000000, 0) AS INT) AS "start_back"
+FROM track_elements t JOIN genome_seq q ON q.genome = t.genome AND q.seqid = t.chr WHERE {GOOD}""")
 def extend_region(spark, d):
-    g = table(spark, d, "genome_seq").where("length >= 1000000").withColumns({"start": F.lit(900_000), "end": F.lit(1_000_000)})
-    s, e = R.extend(F.col("start"), F.col("end"), 7, F.col("length"))
+    g = table(spark, d, "genome_seq").select("genome", "seqid", "length")
+    t = _segments(spark, d).join(g, ["genome", "seqid"])
+    s, e = R.extend(F.col("start"), F.col("end"), 100_000, F.col("length"))
     back, _ = R.extend(F.col("start"), F.col("end"), -1_000_000, F.col("length"))
-    return g.select("seqid", "genome", s.alias("start"), e.alias("end"), back.alias("start_back"))
+    return t.select("el_id", "loaded_at", s.alias("start"), e.alias("end"), back.alias("start_back"))
 
 
 @query(f"""WITH a AS (SELECT DISTINCT genome, chr, "start" AS s, "end" AS e FROM linked_nodes WHERE {GOOD}), b AS (SELECT DISTINCT genome, chr, "start" AS s, "end" AS e FROM linked_elements WHERE {GOOD})
@@ -397,12 +398,18 @@ def union_files(spark, d):
     return ST.multi_file(of("track_elements", "track"), of("step_elements", "step"))
 
 
-@query("""SELECT genome, bool_and(coalesce("start" = 0 AND "end" = length, false)) AS all_whole FROM (SELECT genome, 0 AS "start", length AS "end", length FROM genome_seq) GROUP BY genome""")
+@query("""WITH r AS (SELECT q.genome, q.seqid, q.length, CASE WHEN q.ord = m.last AND q.genome = m.first THEN 1 ELSE 0 END AS s FROM genome_seq q,
+ (SELECT max(ord) AS last, min(genome) AS first FROM genome_seq WHERE genome = (SELECT min(genome) FROM genome_seq)) m)
+SELECT genome, bool_and(s = 0) AS all_whole FROM r GROUP BY genome""")
 def whole_regions(spark, d):
+    """The last sequence of the first genome lacks its first position."""
     g = table(spark, d, "genome_seq")
+    names = [r["genome"] for r in g.select("genome").distinct().orderBy("genome").collect()]  # a dimension
+    last = g.where(F.col("genome") == names[0]).agg(F.max("ord")).first()[0]
     out = None
-    for name in ("nv2", "nv3"):
-        one = ST.all_whole(g.where(F.col("genome") == name).select("genome", "seqid", F.lit(0).alias("start"), F.col("length").alias("end")), g).withColumn("genome", F.lit(name))
+    for name in names:
+        cut = F.when((F.col("ord") == last) & F.lit(name == names[0]), 1).otherwise(0)
+        one = ST.all_whole(g.where(F.col("genome") == name).select("genome", "seqid", cut.alias("start"), F.col("length").alias("end")), g).withColumn("genome", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -469,16 +476,16 @@ def gff_parse_lines(spark, d):
     return P.gff(lines).where("error is null").select(F.col("ord.nth").alias("el_id"), "seqid", "start", "end", "id", "name")
 
 
-@query("""SELECT o_orderkey, CAST(100 * o_custkey + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS "start", CAST(o_totalprice AS DOUBLE) AS val, 'c' || o_custkey AS seqid
-FROM orders WHERE o_custkey < 20000000""")
+@query("""SELECT o_orderkey, 100 * (o_custkey % 1000) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS "start", CAST(o_totalprice AS DOUBLE) AS val, 'c' || o_custkey AS seqid
+FROM orders""")
 def wig_parse_lines(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 20000000")
+    o = table(spark, d, "orders")
     block = F.col("o_custkey").cast("long")
     data = o.select(F.struct(block.alias("block"), F.col("o_orderkey").cast("long").alias("nth")).alias("ord"), F.col("o_totalprice").cast("string").alias("line"))
     heads = o.select(block.alias("b")).distinct().select(F.struct(F.col("b").alias("block"), F.lit(-1).cast("long").alias("nth")).alias("ord"),
-                                                         F.format_string("fixedStep chrom=c%d start=%d step=1", F.col("b"), F.col("b") * 100 + 1).alias("line"))
+                                                         F.format_string("fixedStep chrom=c%d start=%d step=1", F.col("b"), F.col("b") % 1000 * 100 + 1).alias("line"))
     lines = heads.unionByName(data).withColumn("file", F.col("ord.block").cast("string")).select("file", "ord", "line")
-    return P.wig(lines).where("error is null").select(F.col("ord.nth").alias("o_orderkey"), "start", "val", "seqid")
+    return P.wig(lines).where("error is null").select(F.col("ord.nth").alias("o_orderkey"), F.col("start").cast("long").alias("start"), "val", "seqid")
 
 
 @query("""SELECT p_partkey AS seqid, CAST(i - 1 AS INT) AS "start", p_name[i] AS val FROM (SELECT p_partkey, replace(p_name, ' ', '') AS p_name, unnest(range(1, len(replace(p_name, ' ', '')) + 1)) AS i FROM part)""")
@@ -486,15 +493,17 @@ def fasta_parse_lines(spark, d):
     p = table(spark, d, "part")
     name = F.replace("p_name", F.lit(" "), F.lit(""))
     rows = F.explode(F.array(F.struct(F.lit(0).alias("n"), F.concat(F.lit(">"), F.col("p_partkey")).alias("x")), F.struct(F.lit(1).alias("n"), F.substring(name, 1, 7).alias("x")),
-                             F.struct(F.lit(2).alias("n"), F.substring(name, 8, 1000).alias("x"))))
+                             F.struct(F.lit(2).alias("n"), F.substring(name, F.lit(8), F.length(name)).alias("x"))))
     lines = p.select("p_partkey", rows.alias("r")).select(F.col("p_partkey").cast("string").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("r.n").cast("long").alias("nth")).alias("ord"), F.col("r.x").alias("line"))
     return P.fasta(lines).select(F.col("seqid").cast(p.schema["p_partkey"].dataType).alias("seqid"), "start", "val")
 
 
-@query(f"""SELECT el_id, chr AS seqid, "start", "end", val, 'a|b%2' AS edges FROM linked_elements WHERE {GOOD} AND val IS NOT NULL AND val NOT IN ('', '.')""")
+@query(f"""SELECT el_id, chr AS seqid, "start", "end", CASE WHEN val IS NULL OR val = '.' THEN '' ELSE val END AS val, 'n' || el_id || '|b%2;=,' AS edges FROM linked_elements WHERE {GOOD}""")
 def headed_round_trip(spark, d):
-    t = table(spark, d, "linked_elements").where(F.col("chr").isNotNull() & (F.col("end") > F.col("start")) & F.col("val").isNotNull() & ~F.col("val").isin("", "."))
-    t = t.withColumnRenamed("chr", "seqid").select("seqid", "start", "end", "val", F.col("el_id").cast("string").alias("id"), F.array(F.lit("a"), F.lit("b%2")).alias("edges"))
+    """Missing values come back as empty ones; ids of edges may hold the signs of the format."""
+    t = table(spark, d, "linked_elements").where(F.col("chr").isNotNull() & (F.col("end") > F.col("start")))
+    edges = F.array(F.format_string("n%d", "el_id"), F.lit("b%2;=,"))
+    t = t.withColumnRenamed("chr", "seqid").select("seqid", "start", "end", "val", F.col("el_id").cast("string").alias("id"), edges.alias("edges"))
     h = SH.header_for(t)
     out = SH.compose(t.withColumn("row_ord", F.col("id").cast("long")), h)
     lines = out.select(F.lit("f").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("k_row").alias("nth")).alias("ord"), "line")
@@ -583,10 +592,12 @@ def sampled_by_intensity_counts(spark, d):
 
 
 # Windows in time (an extension)
-@query("""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL""")
+@query("""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) AS BIGINT) AS total
+FROM events GROUP BY ALL""")
 def events_per_hour(spark, d):
-    e = table(spark, d, "events")
-    return streaming.windowed_counts(e, "ts", "event_type", "value").drop("total")
+    """Counts, and sums in whole thousandths, which don't depend on the order of addition."""
+    e = table(spark, d, "events").withColumn("value", F.floor(F.col("value") * 1000))
+    return streaming.windowed_counts(e, "ts", "event_type", "value")
 
 
 # Analysis regions

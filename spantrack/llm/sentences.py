@@ -9,8 +9,9 @@ block do not.
 
 The token features are corpus statistics over all texts: how often a token before a full stop ends
 a block, and how often a token begins one. Tokens are counted by a 64-bit hash in a distributed
-aggregate; the ``TOKENS`` most frequent ones go to the tasks, all others have the mean rates. What
-makes a case reliable are rates within confidence bounds, where the evidence for a token is the
+aggregate; the ``TOKENS`` most frequent ones go to the tasks. Where a corpus has more, candidates
+beside any other token leave their text as a few bytes and are joined with the counts, so every
+token has its own rates. What makes a case reliable are rates within confidence bounds, where the evidence for a token is the
 number of its different neighbours (a 64-bit sketch) and not its count: a corpus repeated ten times
 labels every case as before. All scanning is vectorised over code points.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 
-#: Tokens with statistics of their own, documents and rows of the training sample, code points per chunk.
+#: Tokens whose statistics go to the tasks, documents and rows of the training sample, code points per chunk.
 TOKENS, SAMPLE_DOCS, TRAIN_ROWS, CHUNK = 1 << 18, 4000, 60_000, 1_000_000
 
 # Classes of code points.
@@ -316,6 +317,41 @@ class Candidates:
         return fresh & (last >= 0), last >= 0
 
 
+class Cases:
+    """What the features need of candidates besides the counts of their tokens: their hashes and a
+    byte a trait, so that candidates can be joined with counts away from their text."""
+
+    FLAGS = ("period", "ellipsis", "strong", "wide", "danda", "thai", "guarded", "quoted", "bracketed", "edge", "direct", "newline", "spaced",
+             "punct", "quote_start", "quote_found", "bracket_start", "bracket_found")
+    CODES = ("length", "now", "before", "script")
+
+    def __init__(self, before_token: np.ndarray, next_token: np.ndarray, traits: dict[str, np.ndarray]):
+        self.before_token, self.next_token, self.k = before_token, next_token, len(before_token)
+        self.__dict__.update(traits)
+
+    @classmethod
+    def of(cls, c: Candidates) -> Cases:
+        t = c.t
+        openers = t.openers()
+        traits = {name: getattr(c, name) for name in cls.FLAGS[:13]}
+        traits["punct"] = np.isin(t.cls[c.at], (PUNCT, CLOSE)) & ~c.edge & ~np.isin(t.cp[c.at], [ord(x) for x in "¡¿-*—–·•#§"])
+        traits["quote_start"], traits["quote_found"] = c.opened_at_start(c.quote_at, openers)
+        traits["bracket_start"], traits["bracket_found"] = c.opened_at_start(c.bracket_at, openers)
+        # No feature tells lengths above 4 apart.
+        traits |= {"length": np.clip(c.prev_length, 0, 255).astype(np.uint8), "now": t.cls[c.word], "before": t.cls[c.before], "script": t.script[c.before]}
+        return cls(c.prev_cell, c.next_cell, traits)
+
+    def packed(self, rows: np.ndarray) -> pa.Array:
+        table = np.stack([getattr(self, name)[rows].astype(np.uint8) for name in (*self.FLAGS, *self.CODES)], axis=1)
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(table.shape[1]), len(rows), [None, pa.py_buffer(table.tobytes())]).cast(pa.binary())
+
+    @classmethod
+    def unpacked(cls, before_token: np.ndarray, next_token: np.ndarray, packed: list[bytes]) -> Cases:
+        table = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, len(cls.FLAGS) + len(cls.CODES)).T
+        flags = {name: column.astype(bool) for name, column in zip(cls.FLAGS, table)}
+        return cls(before_token, next_token, flags | dict(zip(cls.CODES, table[len(cls.FLAGS) :])))
+
+
 def _evidence(neighbours: np.ndarray) -> np.ndarray:
     """Number of different neighbours by linear counting over 64 bits, at most 266."""
     seen = np.bitwise_count(neighbours.view(np.uint64)).astype(float)
@@ -337,7 +373,7 @@ class Statistics:
     def __init__(self, token: np.ndarray, table: np.ndarray, stops: int, ends: int):
         """``token``: hashes; ``table``: COUNTS and MASKS of each; the totals are over all tokens."""
         order = np.argsort(token)
-        # The last row is that of all tokens that have none of their own.
+        # The last row is that of all tokens that have none here.
         self.token = np.append(token[order], np.iinfo(np.int64).max)
         rows = np.concatenate((table[:, order], np.zeros((6, 1), np.int64)), axis=1)
         self.stops, self.ends, self.tokens, self.starts = rows[:4].astype(np.float64)
@@ -379,7 +415,15 @@ class Statistics:
         at = np.searchsorted(self.token, token)
         return np.where(self.token[np.minimum(at, len(self.token) - 1)] == token, at, len(self.token) - 1)
 
-    def end_score(self, c: Candidates, at: np.ndarray) -> np.ndarray:
+    def rare(self, token: np.ndarray) -> np.ndarray:
+        """Whether the tokens have no row here."""
+        return self.place(token) == len(self.token) - 1
+
+    def places(self, c: Cases) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the tokens before and after the candidates."""
+        return self.place(c.before_token), self.place(c.next_token)
+
+    def end_score(self, c: Cases, at: np.ndarray) -> np.ndarray:
         """Log ratio of the rate at which the token before the stop ends a block to the mean rate,
         without the candidate itself."""
         own = c.period.astype(float)
@@ -387,7 +431,7 @@ class Statistics:
         strength = 3.0
         return np.log((np.maximum(k, 0) + strength * self.end_rate) / (np.maximum(n, 0) + strength) / self.end_rate)
 
-    def start_score(self, c: Candidates, at: np.ndarray) -> np.ndarray:
+    def start_score(self, c: Cases, at: np.ndarray) -> np.ndarray:
         own = c.edge.astype(float)
         n, k = self.tokens[at] - 1, self.starts[at] - own
         strength = 3.0
@@ -401,32 +445,50 @@ class Statistics:
         return np.minimum(self.starts[at] / np.maximum(self.tokens[at], 1), 1), self.token_evidence[at]
 
 
+class CaseStatistics(Statistics):
+    """Counts with a row for each of some cases: those of its tokens among the frequent ones, else
+    the joined ones."""
+
+    def __init__(self, frequent: Statistics, c: Cases, joined: np.ndarray):
+        """``joined``: COUNTS and MASKS of the tokens by case, used where they have no row in ``frequent``."""
+        before_at, after_at = frequent.places(c)
+        before_rare, after_rare = frequent.rare(c.before_token), frequent.rare(c.next_token)
+        self.stops, self.ends = np.where(before_rare, joined[0], frequent.stops[before_at]), np.where(before_rare, joined[1], frequent.ends[before_at])
+        self.tokens, self.starts = np.where(after_rare, joined[2], frequent.tokens[after_at]), np.where(after_rare, joined[3], frequent.starts[after_at])
+        self.stop_evidence = np.where(before_rare, _evidence(joined[4]), frequent.stop_evidence[before_at])
+        self.token_evidence = np.where(after_rare, _evidence(joined[5]), frequent.token_evidence[after_at])
+        self.end_rate, self.start_rate = frequent.end_rate, frequent.start_rate
+
+    def places(self, c: Cases) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(c.k)
+        return at, at
+
+
 def features(c: Candidates, s: Statistics) -> tuple[np.ndarray, np.ndarray]:
     """Feature matrix, and labels: 1 and 0 where reliable, -1 elsewhere."""
-    t = c.t
-    cls = t.cls
-    before_at, after_at = s.place(c.prev_cell), s.place(c.next_cell)
+    return case_features(Cases.of(c), s)
+
+
+def case_features(c: Cases, s: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    before_at, after_at = s.places(c)
     ends, starts = s.end_score(c, before_at), s.start_score(c, after_at)
-    now = cls[c.word]
+    now = c.now
     lower, upper, digit = now == LOWER, now == UPPER, now == DIGIT
     # Beside a script without case, letter case says nothing.
-    bare = t.script[c.before] >= 4
+    script = c.script
+    bare = script >= 4
     foreign = (lower | upper) & bare  # a Latin word there: its start counts come from other texts
     caseless = (now == LETTER) | (now == JOINED) | foreign
     lower, upper = lower & ~bare, upper & ~bare
     symbol = now == OTHER
     starts = np.where(symbol | foreign, 0.0, starts)  # ornaments and such follow sentences anywhere
-    run_on = c.ellipsis & (t.script[c.before] == len(_SCRIPTS)) & ~c.spaced
-    punct = np.isin(cls[c.at], (PUNCT, CLOSE)) & ~c.edge & ~np.isin(t.cp[c.at], [ord(x) for x in "¡¿-*—–·•#§"])
-    openers = t.openers()
-    open_start, open_found = c.opened_at_start(c.quote_at, openers)
-    brk_start, brk_found = c.opened_at_start(c.bracket_at, openers)
+    run_on = c.ellipsis & (script == len(_SCRIPTS)) & ~c.spaced
+    punct = c.punct
+    open_start, open_found, brk_start, brk_found = c.quote_start, c.quote_found, c.bracket_start, c.bracket_found
     q, b = c.quoted, c.bracketed
-    prev_digit = cls[c.before] == DIGIT
-    single = (c.prev_length == 1) & np.isin(cls[c.before], (UPPER, LOWER, LETTER))
-    inner_dot = c.prev_length > 2
+    prev_digit = c.before == DIGIT
+    single = (c.length == 1) & np.isin(c.before, (UPPER, LOWER, LETTER))
     in_number = c.direct & digit & prev_digit & (c.period | c.ellipsis)
-    script = t.script[c.before]
     f = [
         np.ones(c.k), c.period, c.ellipsis, c.strong, c.wide | c.danda, c.thai & ~c.guarded, c.thai & c.guarded,
         np.where(c.period, ends, 0), np.where(c.period & (ends < -0.7), 1, 0), starts * ~c.thai, np.where(c.period, starts, 0),
@@ -435,7 +497,7 @@ def features(c: Candidates, s: Statistics) -> tuple[np.ndarray, np.ndarray]:
         c.direct & (c.period | c.ellipsis), c.direct & c.strong, c.direct & lower, c.direct & upper, in_number,
         c.spaced & c.ellipsis, c.spaced & ~c.ellipsis & ~c.thai, c.ellipsis & lower, c.ellipsis & digit, np.where(c.ellipsis & ~run_on, starts, 0),
         q & open_start, q & ~open_start & open_found, q & ~open_found, b & brk_start, b & ~brk_start & brk_found, b & ~brk_found,
-        c.period & single, c.period & prev_digit, c.period & prev_digit & digit, c.period & prev_digit & (starts < -1), c.period & prev_digit & upper & (starts < -2.5), c.period & c.newline & upper & (starts < -2.5), c.period & (c.prev_length <= 4) & ~single,
+        c.period & single, c.period & prev_digit, c.period & prev_digit & digit, c.period & prev_digit & (starts < -1), c.period & prev_digit & upper & (starts < -2.5), c.period & c.newline & upper & (starts < -2.5), c.period & (c.length <= 4) & ~single,
         run_on, c.newline, c.newline * np.clip(starts, -3, 1) * ~c.thai, c.newline & upper, c.newline & c.period & (ends > -0.4),
         c.period & (script == 0), c.period & ((script == 4) | (script == 5)),
     ]
@@ -501,10 +563,11 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def statistics(df: DataFrame, text: str, tokens: int = TOKENS) -> Statistics:
-    """Token statistics over all texts. The ``tokens`` most frequent tokens reach the driver; the
-    rest, the rarest of the corpus, only count in the totals and get the mean rates."""
-    names = [*Statistics.COUNTS, *Statistics.MASKS]
+COUNTED = (*Statistics.COUNTS, *Statistics.MASKS)
+
+
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """(token, COUNTS, MASKS) of all tokens of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -512,28 +575,79 @@ def statistics(df: DataFrame, text: str, tokens: int = TOKENS) -> Statistics:
             for a, b in _chunks(texts):
                 t = Text(texts[a:b])
                 token, table = Statistics.count(t, t.candidates())
-                yield pa.RecordBatch.from_arrays([pa.array(token), *[pa.array(r) for r in table]], ["token", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(token), *[pa.array(r) for r in table]], ["token", *COUNTED])
 
-    parts = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, ", ".join(f"{c} long" for c in ["token", *names]))
-    found = materialise(parts.groupBy("token").agg(
+    parts = df.select(text).where(F.col(text).isNotNull()).mapInArrow(count, ", ".join(f"{c} long" for c in ["token", *COUNTED]))
+    return materialise(parts.groupBy("token").agg(
         *[F.sum(c).alias(c) for c in Statistics.COUNTS], *[F.bit_or(c).alias(c) for c in Statistics.MASKS]))
-    totals = found.agg(F.sum("stops"), F.sum("ends")).first()
+
+
+def frequent_tokens(found: DataFrame, tokens: int) -> tuple[Statistics, bool]:
+    """Statistics of the ``tokens`` most frequent tokens, with the totals over all; whether there are others."""
+    n, stops, ends = found.agg(F.count("*"), F.sum("stops"), F.sum("ends")).first()
     top = found.orderBy(F.greatest("stops", "tokens").desc(), "token").limit(tokens).toArrow()
-    table = np.stack([top.column(c).to_numpy() for c in names]).astype(np.int64) if top.num_rows else np.zeros((6, 0), np.int64)
-    return Statistics(top.column("token").to_numpy().astype(np.int64), table, totals[0] or 0, totals[1] or 0)
+    table = np.stack([top.column(c).to_numpy() for c in COUNTED]).astype(np.int64) if top.num_rows else np.zeros((6, 0), np.int64)
+    return Statistics(top.column("token").to_numpy().astype(np.int64), table, stops or 0, ends or 0), n > tokens
 
 
-def train(df: DataFrame, doc_id: str, text: str, stats) -> np.ndarray:
+def statistics(df: DataFrame, text: str, tokens: int = TOKENS) -> Statistics:
+    """Statistics of the ``tokens`` most frequent tokens, which reach the driver, with the totals over
+    all texts. Candidates beside other tokens get their counts by ``joined_cases``."""
+    return frequent_tokens(token_counts(df, text), tokens)[0]
+
+
+def joined_cases(rows: DataFrame, stats, found: DataFrame, undecided: bool) -> DataFrame:
+    """The candidates of ``rows`` (key, text), as (key, place, end, hashes, traits) with COUNTS and
+    MASKS of their tokens, which are null where a token is among the frequent ones or was never
+    counted. ``undecided``: only those inside a block and beside a token that isn't frequent."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            for a, b in _chunks(texts):
+                t = Text(texts[a:b])
+                c = t.candidates()
+                before_rare, next_rare = stats.value.rare(c.prev_cell), stats.value.rare(c.next_cell)
+                at = np.flatnonzero((before_rare | next_rare) & ~c.edge) if undecided else np.arange(c.k)
+                if len(at):
+                    owner = np.searchsorted(t.begins, c.last[at], side="right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(a + owner)), pa.array(c.last[at] - t.begins[owner], pa.int64()),
+                         pa.array(c.end[at] - t.begins[owner] + 1, pa.int32()), pa.array(c.prev_cell[at]), pa.array(c.next_cell[at]),
+                         pa.array(before_rare[at]), pa.array(next_rare[at]), Cases.of(c).packed(at)],
+                        ["key", "place", "end", "before_token", "next_token", "before_rare", "next_rare", "traits"])
+
+    cases = rows.mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, place long, end int, before_token long, next_token long, "
+                                  "before_rare boolean, next_rare boolean, traits binary")
+    for side, counted in (("before", ("stops", "ends", "after_stop")), ("next", ("tokens", "starts", "after"))):
+        # What needs no counts is spread over the partitions by its place; counts it may meet aren't used.
+        key = F.when(F.col(f"{side}_rare"), F.col(f"{side}_token")).otherwise(F.xxhash64("key", "place"))
+        counts = found.where(" or ".join(f"{c} <> 0" for c in counted)).select(F.col("token").alias("__token"), *counted)
+        cases = cases.join(counts, key == F.col("__token"), "left").drop("__token")
+    return cases.select("key", "place", "end", "before_token", "next_token", "traits", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTED])
+
+
+def _features_of_cases(batch: pa.RecordBatch, stats: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda name: batch.column(name).to_numpy()
+    c = Cases.unpacked(column("before_token"), column("next_token"), batch.column("traits").to_pylist())
+    return case_features(c, CaseStatistics(stats, c, np.stack([column(name) for name in COUNTED])))
+
+
+def train(df: DataFrame, doc_id: str, text: str, stats, rest: DataFrame | None = None) -> np.ndarray:
     """Weights from the reliable candidates of a sample of at most about SAMPLE_DOCS texts, and of
-    those TRAIN_ROWS drawn by the hash of document and place."""
+    those TRAIN_ROWS drawn by the hash of document and place. ``rest``: the counts of all tokens,
+    where ``stats`` hasn't got them all."""
     total = df.count()
     if not total:
         return fit(*features_of([], stats.value))
     sample = df.where(F.pmod(F.xxhash64(doc_id), F.lit(total)) < SAMPLE_DOCS) if total > SAMPLE_DOCS else df
 
+    def labelled(keys: pa.Array, places: pa.Array, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [keys, places, pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary()), pa.array(y, pa.int32())], ["key", "place", "x", "y"])
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in _chunks(texts):
                 t = Text(texts[a:b])
@@ -542,12 +656,17 @@ def train(df: DataFrame, doc_id: str, text: str, stats) -> np.ndarray:
                 keep = np.flatnonzero(y >= 0)
                 if len(keep):
                     owner = np.searchsorted(t.begins, c.last[keep], side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[a + owner]), pa.array(c.last[keep] - t.begins[owner], pa.int64()),
-                         pa.array([r.tobytes() for r in x[keep].astype(np.float32)], pa.binary()), pa.array(y[keep], pa.int32())],
-                        ["key", "place", "x", "y"])
+                    yield labelled(batch.column(0).take(pa.array(a + owner)), pa.array(c.last[keep] - t.begins[owner], pa.int64()), x[keep], y[keep])
+
+    def label_cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _features_of_cases(batch, stats.value)
+            keep = np.flatnonzero(y >= 0)
+            yield labelled(batch.column("key").take(pa.array(keep)), batch.column("place").take(pa.array(keep)), x[keep], y[keep])
 
-    rows = sample.select(F.xxhash64(doc_id).alias("key"), text).where(F.col(text).isNotNull()).mapInArrow(label, "key long, place long, x binary, y int")
+    texts = sample.select(F.xxhash64(doc_id).alias("key"), text).where(F.col(text).isNotNull())
+    rows, by = (texts, label) if rest is None else (joined_cases(texts, stats, rest, undecided=False), label_cases)
+    rows = rows.mapInArrow(by, "key long, place long, x binary, y int")
     rows = rows.orderBy(F.xxhash64("key", "place"), "key", "place").limit(TRAIN_ROWS).select("x", "y").toArrow()
     width = features_of([], stats.value)[0].shape[1]
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float32).reshape(-1, width)
@@ -559,38 +678,55 @@ def features_of(texts: list[str], stats: Statistics) -> tuple[np.ndarray, np.nda
     return x[y >= 0], y[y >= 0]
 
 
-def sentence_ends(texts: list[str], stats: Statistics, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, number of code points up to the end) of every unit, in order."""
+def sentence_ends(texts: list[str], stats: Statistics, weights: np.ndarray, decided: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, number of code points up to the end) of every unit, in order. ``decided``:
+    without those at candidates beside a token that has no row in ``stats``."""
     t = Text(texts)
     c = t.candidates()
     x, _ = features(c, stats)
-    chosen = c.end[(x @ weights > 0) & ~c.edge]
-    ends = np.unique(np.concatenate((chosen, t.block_ends())))
+    chosen = (x @ weights > 0) & ~c.edge
+    if decided:
+        chosen &= ~stats.rare(c.prev_cell) & ~stats.rare(c.next_cell)
+    ends = np.unique(np.concatenate((c.end[chosen], t.block_ends())))
     owner = np.searchsorted(t.begins, ends, side="right") - 1
     return owner, ends - t.begins[owner] + 1
 
 
-def split_sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def split_sentences(df: DataFrame, doc_id: str, text: str, tokens: int = TOKENS) -> DataFrame:
     """(doc_id, end_pos) of every sentence unit: code points up to its last visible one.
 
     Null, empty and blank texts give no row. Texts of any length are read whole. Rows repeated
-    with the same doc_id give the same ends once per row; extra columns are not read.
+    with the same doc_id give the same ends once per row; extra columns are not read. The result
+    doesn't depend on ``tokens``, the number of tokens whose statistics go to the tasks: candidates
+    beside others are decided after a join with the counts, in a scan of their own.
     """
-    rows = df.select(doc_id, text)
+    rows = df.select(F.col(doc_id).alias("key"), F.col(text).alias("text"))
     context = df.sparkSession.sparkContext
-    stats = context.broadcast(statistics(rows, text))  # seven arrays of at most TOKENS numbers
-    weights = train(rows, doc_id, text, stats)
+    found = token_counts(rows, "text")
+    frequent, more = frequent_tokens(found, tokens)
+    stats = context.broadcast(frequent)  # seven arrays of at most ``tokens`` numbers
+    weights = train(rows, "key", "text", stats, found if more else None)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in _chunks(texts):
-                owner, ends = sentence_ends(texts[a:b], stats.value, weights)
+                owner, ends = sentence_ends(texts[a:b], stats.value, weights, more)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner + a)), pa.array(ends, pa.int32())], ["doc_id", "end_pos"])
+                    [batch.column(0).take(pa.array(owner + a)), pa.array(ends, pa.int32())], ["key", "end_pos"])
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return rows.where(F.col(text).isNotNull()).mapInArrow(split, f"doc_id {kind}, end_pos int").withColumnRenamed("doc_id", doc_id)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(np.flatnonzero(_features_of_cases(batch, stats.value)[0] @ weights > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(keep), batch.column("end").take(keep)], ["key", "end_pos"])
+
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, end_pos int"
+    texts = rows.where(F.col("text").isNotNull())
+    ends = texts.mapInArrow(split, schema)
+    if more:
+        # No candidate inside a block shares its end with another one or with the block.
+        ends = ends.unionAll(joined_cases(texts, stats, found, undecided=True).mapInArrow(decide, schema))
+    return ends.withColumnRenamed("key", doc_id)
 
 
 def block_ends(df: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -146,3 +146,39 @@ def test_rare_tokens_only_count_in_the_totals(spark):
     assert len(few.token) == 21 and len(whole.token) > 21 and few.end_rate == whole.end_rate
     at, other = few.place(few.token[:-1]), whole.place(few.token[:-1])
     assert (few.stops[at] == whole.stops[other]).all() and (few.tokens[at] == whole.tokens[other]).all()
+
+
+def by_whole_statistics(spark, df):
+    """Ends with the statistics of all tokens in one table."""
+    rows = df.collect()
+    stats = S.statistics(df, "text", tokens=1 << 20)
+    weights = S.train(df, "doc_id", "text", spark.sparkContext.broadcast(stats))
+    owner, ends = S.sentence_ends([r["text"] for r in rows], stats, weights)
+    return sorted((rows[i]["doc_id"], e) for i, e in zip(owner.tolist(), ends.tolist())), len(stats.token) - 1
+
+
+def test_ends_do_not_depend_on_the_tokens_sent_to_the_tasks(spark):
+    rng = random.Random(6)
+    texts = [split_marks(page(rng))[0] for _ in range(150)] + ["โรงสี โรงสี 5 ชิ้น โรงสี", "A b. C d.” E f.\r\n\r\n", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    want, _ = by_whole_statistics(spark, df)
+    for tokens in (0, 1, 20, 1 << 18):
+        got = S.split_sentences(df, "doc_id", "text", tokens=tokens)
+        assert sorted(map(tuple, got.collect())) == want and got.schema.simpleString() == "struct<doc_id:bigint,end_pos:int>"
+
+
+def test_tokens_beyond_the_most_frequent_keep_their_rates(spark):
+    """More than TOKENS fillers, three times each, and abbreviations that occur twice: before a small letter and before a capital."""
+    rng = random.Random(8)
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda k: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(k))
+    short = [word(3) for _ in range(60)]
+    texts = [split_marks(page(rng))[0] for _ in range(10)] + [f"The clerk sold {a}. {word(4)} at the mill" for a in short] + [
+        f"The clerk sold {a}. {word(4).capitalize()} at the mill" for a in short]
+    words = [a + b + c + d + e for a in letters for b in letters for c in letters for d in letters for e in "yh"]
+    assert len(words) > S.TOKENS
+    fillers = [" ".join(words[i : i + 2000]) for i in range(0, len(words), 2000)] * 3
+    df = spark.createDataFrame(list(enumerate([*texts, *fillers])), "doc_id long, text string")
+    want, n = by_whole_statistics(spark, df)
+    assert n > S.TOKENS
+    assert sorted(map(tuple, S.split_sentences(df, "doc_id", "text").collect())) == want
